@@ -3,15 +3,16 @@ and the effect of deleting or renaming keys."""
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import exact, loose
+from ..functions.text import loose
 from ..model.columns import AS_OF, CASCADE, RESTRICT, RUN_TS, Table
+from ..model.columns import Column as ColumnRule
 from ..model.tables import TABLES, children_of
 
 Source = Callable[[str], DataFrame]
@@ -24,21 +25,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # -- derivations -----------------------------------------------------------------
 
 
-def default_of(column, as_of: str, run_ts: str) -> Column:
-    """The declared default as a typed column; NULL where none is declared."""
-    if column.default is AS_OF:
-        return F.lit(as_of).cast(column.type)
-    if column.default is RUN_TS:
-        return F.lit(dt.datetime.fromisoformat(run_ts)).cast(column.type)
-    return F.lit(column.default).cast(column.type)
+def default_of(column: ColumnRule, as_of: str, run_ts: str) -> str:
+    """The declared default as typed SQL; NULL where none is declared."""
+    value = {AS_OF: as_of, RUN_TS: run_ts}.get(column.default, column.default)
+    literal = "NULL" if value is None else str(value) if isinstance(value, (bool, int)) else f"'{value}'"
+    return f"CAST({literal} AS {column.type.simpleString()})"
 
 
 def fill_defaults(df: DataFrame, table: Table, as_of: str, run_ts: str) -> DataFrame:
     """Add every column the rows do not bring, with its default, in declared order."""
     present = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *(
-            F.col(c.name) if c.name in present else default_of(c, as_of, run_ts).alias(c.name)
+            c.name if c.name in present else f"{default_of(c, as_of, run_ts)} AS {c.name}"
             for c in table.columns
         )
     )
@@ -54,6 +53,15 @@ def with_generated(df: DataFrame, table: Table) -> DataFrame:
 # -- checks ----------------------------------------------------------------------
 
 
+def _entries(source: Source, table: Table, structs: list[str], keep: str) -> DataFrame:
+    """Explode one array of structs per row; reads only the columns the structs name."""
+    return (
+        source(table.name)
+        .selectExpr(f"'{table.name}' AS tabla", f"inline(array({', '.join(structs)}))")
+        .filter(keep)
+    )
+
+
 def orphans(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame:
     """Reference values without a parent, with the number of rows that hold them.
 
@@ -64,31 +72,19 @@ def orphans(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame
     for table in TABLES.values():
         delivered = set(columns_of(table.name))
         refs = [c for c in table.references if c.name in delivered]
-        if not refs:
-            continue
-        pairs = F.array(
-            *(
-                F.struct(
-                    F.lit(c.name).alias("columna"),
-                    F.lit(c.parent).alias("padre"),
-                    F.col(c.name).cast("bigint").alias("clave"),
-                )
+        if refs:
+            structs = [
+                f"struct('{c.name}' AS columna, '{c.parent}' AS padre, CAST({c.name} AS BIGINT) AS clave)"
                 for c in refs
-            )
-        )
-        children.append(
-            source(table.name)
-            .select(F.lit(table.name).alias("tabla"), F.explode(pairs).alias("p"))
-            .select("tabla", "p.*")
-            .filter("clave IS NOT NULL")
-        )
-        parents.update({c.parent: TABLES[c.parent].key for c in refs})
+            ]
+            children.append(_entries(source, table, structs, "clave IS NOT NULL"))
+            parents.update({c.parent: TABLES[c.parent].key for c in refs})
     held = _union(children).groupBy("tabla", "columna", "padre", "clave").agg(
         F.count("*").alias("filas")
     )
     known = _union(
         [
-            source(name).select(F.lit(name).alias("padre"), F.col(key).cast("bigint").alias("clave"))
+            source(name).selectExpr(f"'{name}' AS padre", f"CAST({key} AS BIGINT) AS clave")
             for name, key in parents.items()
         ]
     )
@@ -97,12 +93,6 @@ def orphans(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame
     )
 
 
-def _unique_sets(table: Table, delivered: set[str]):
-    for columns in ((table.key,), *table.unique):
-        if delivered.issuperset(columns):
-            yield columns
-
-
 def duplicate_keys(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame:
     """Primary and unique keys held by more than one row; a NULL never collides.
 
@@ -110,33 +100,17 @@ def duplicate_keys(source: Source, columns_of: Callable[[str], list[str]]) -> Da
     """
     plain, textual = [], []
     for table in TABLES.values():
-        sets = list(_unique_sets(table, set(columns_of(table.name))))
+        delivered = set(columns_of(table.name))
+        sets = [k for k in ((table.key,), *table.unique) if delivered.issuperset(k)]
         for group, is_text in ((plain, False), (textual, True)):
-            chosen = [
-                cols
-                for cols in sets
-                if is_text == any(_is_text(table, c) for c in cols)
+            structs = [
+                f"struct('{'+'.join(k)}' AS restriccion, "
+                + "CAST(" + " || '|' || ".join(f"CAST({c} AS STRING)" for c in k) + " AS STRING) AS clave)"
+                for k in sets
+                if is_text == any(table.column(c).type == T.StringType() for c in k)
             ]
-            if not chosen:
-                continue
-            pairs = F.array(
-                *(
-                    F.struct(
-                        F.lit("+".join(cols)).alias("restriccion"),
-                        F.when(
-                            reduce(Column.__and__, (F.col(c).isNotNull() for c in cols)),
-                            F.concat_ws("|", *(F.col(c).cast("string") for c in cols)),
-                        ).alias("clave"),
-                    )
-                    for cols in chosen
-                )
-            )
-            group.append(
-                source(table.name)
-                .select(F.lit(table.name).alias("tabla"), F.explode(pairs).alias("p"))
-                .select("tabla", "p.*")
-                .filter("clave IS NOT NULL")
-            )
+            if structs:
+                group.append(_entries(source, table, structs, "clave IS NOT NULL"))
     by_value = (
         _union(plain)
         .groupBy("tabla", "restriccion", "clave")
@@ -149,44 +123,23 @@ def duplicate_keys(source: Source, columns_of: Callable[[str], list[str]]) -> Da
         .groupBy("tabla", "restriccion", "k")
         .agg(F.min("clave").alias("clave"), F.count("*").alias("filas"))
         .filter("filas > 1")
-        .select("tabla", "restriccion", exact("clave").alias("clave"), "filas")
+        .drop("k")
     )
     return by_value.unionByName(by_text)
 
 
-def _is_text(table: Table, column: str) -> bool:
-    return table.column(column).type.simpleString() == "string"
-
-
-def _broken(df: DataFrame, table: Table, rules: dict[tuple[str, ...], Column], names) -> DataFrame:
-    """One row per broken rule; a rule is broken where its condition is true."""
-    hits = F.filter(
-        F.array(
-            *(
-                F.when(broken, F.struct(*(F.lit(v).alias(n) for n, v in zip(names, label))))
-                for label, broken in rules.items()
-            )
-        ),
-        lambda hit: hit.isNotNull(),
-    )
-    return df.select(
-        F.lit(table.name).alias("tabla"),
-        F.col(table.key).cast("bigint").alias("clave"),
-        F.explode(hits).alias("h"),
-    ).select("tabla", "h.*", "clave")
-
-
 def broken_checks(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame:
     """Rows for which a declared row rule is false; an unknown outcome passes."""
     frames = []
     for table in TABLES.values():
-        rules = {
-            (name,): ~F.expr(rule)
+        delivered = columns_of(table.name)
+        structs = [
+            f"struct('{name}' AS regla, NOT ({rule}) AS rota, CAST({table.key} AS BIGINT) AS clave)"
             for name, rule in table.checks.items()
-            if any(c in rule for c in columns_of(table.name))
-        }
-        if rules:
-            frames.append(_broken(source(table.name), table, rules, ["regla"]))
+            if rule.split()[0] in delivered
+        ]
+        if structs:
+            frames.append(_entries(source, table, structs, "rota").drop("rota"))
     return _union(frames)
 
 
@@ -195,30 +148,17 @@ def outside_domain(source: Source, columns_of: Callable[[str], list[str]]) -> Da
     frames = []
     for table in TABLES.values():
         delivered = set(columns_of(table.name))
-        closed = [c for c in table.columns if c.domain and c.name in delivered]
-        if not closed:
-            continue
-        found = F.filter(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(c.name).alias("columna"),
-                        F.when(~F.col(c.name).isin(*c.domain), F.col(c.name)).alias("valor"),
-                    )
-                    for c in closed
+        structs = []
+        for c in table.columns:
+            if c.domain and c.name in delivered:
+                words = ", ".join(f"'{w}'" for w in c.domain)
+                structs.append(
+                    f"struct('{c.name}' AS columna, "
+                    f"CASE WHEN {c.name} NOT IN ({words}) THEN {c.name} END AS valor, "
+                    f"CAST({table.key} AS BIGINT) AS clave)"
                 )
-            ),
-            lambda hit: hit["valor"].isNotNull(),
-        )
-        frames.append(
-            source(table.name)
-            .select(
-                F.lit(table.name).alias("tabla"),
-                F.col(table.key).cast("bigint").alias("clave"),
-                F.explode(found).alias("h"),
-            )
-            .select("tabla", "h.*", "clave")
-        )
+        if structs:
+            frames.append(_entries(source, table, structs, "valor IS NOT NULL"))
     return _union(frames)
 
 
@@ -227,15 +167,21 @@ def nulls_and_lengths(source: Source, columns_of: Callable[[str], list[str]]) ->
     frames = []
     for table in TABLES.values():
         delivered = set(columns_of(table.name))
-        rules = {}
+        rules = []
         for c in table.columns:
             if c.name not in delivered:
                 continue
             if not c.nullable:
-                rules[c.name, "nulo"] = F.col(c.name).isNull()
+                rules.append((c.name, "nulo", f"{c.name} IS NULL"))
             if c.size:
-                rules[c.name, "longitud"] = F.char_length(c.name) > c.size
-        frames.append(_broken(source(table.name), table, rules, ["columna", "problema"]))
+                rules.append((c.name, "longitud", f"char_length({c.name}) > {c.size}"))
+        if rules:
+            structs = [
+                f"struct('{name}' AS columna, '{what}' AS problema, {broken} AS roto, "
+                f"CAST({table.key} AS BIGINT) AS clave)"
+                for name, what, broken in rules
+            ]
+            frames.append(_entries(source, table, structs, "roto").drop("roto"))
     return _union(frames)
 
 

@@ -13,16 +13,16 @@ from .settings import AS_OF, RUN_TS
 
 
 def _intake(t):
-    return lambda name: t[f"in_{name}"]
+    return t.intake
 
 
 # Keys deleted and renamed by the D08 / D09 runs.
 def _some_animals(t):
-    return t["in_tbl_animal"].filter("id_animal % 97 = 0").select("id_animal")
+    return t.intake("tbl_animal").filter("id_animal % 97 = 0").select("id_animal")
 
 
 def _one_pen(t):
-    return t["in_tbl_manga"].filter("id_manga = 5").select("id_manga")
+    return t.intake("tbl_manga").filter("id_manga = 5").select("id_manga")
 
 
 def _animal_renames(t):

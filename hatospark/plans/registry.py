@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.derived import Tables, with_tables
-from . import quality, reports
+from . import changes, quality, reports
 from .settings import AS_OF, RUN_TS
 
-MODULES = (reports, quality)
+MODULES = (reports, changes, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,20 @@ from ..functions.sequence import next_value
 from ..model.tables import TABLES
 from ..operators.quality import fill_defaults, with_generated
 
-BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# Stated so that reading a file does not start a job to infer its schema.
+BASE = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
 
 _N_PART = "(SELECT count(*) FROM {part})"
 _MIN_PART = "(SELECT min(p_partkey) FROM {part})"
@@ -349,7 +362,60 @@ DIRTY = {
     },
 }
 
-_NAMES = re.compile(r"\b(?:in_)?tbl_[a-z_0-9]+")
+# Snapshots and request batches the change and command runs start from.
+FIXTURES = {
+    "fx_animal_activo": """
+        SELECT id_animal, arete, tipo_animal, sexo, id_manga_actual, peso_actual_kg,
+               'Activo' AS estado_animal
+        FROM {tbl_animal}""",
+    "fx_alerta_despues": """
+        SELECT id_alerta, modulo, id_animal, tipo, prioridad, fecha_programada,
+               CASE WHEN estado = 'Pendiente' AND id_alerta % 3 = 0 THEN 'Atendida'
+                    WHEN estado = 'Pendiente' AND id_alerta % 3 = 1 THEN 'Cancelada'
+                    WHEN estado = 'Cancelada' AND id_alerta % 8 = 1 THEN 'Pendiente'
+                    ELSE estado END AS estado
+        FROM {tbl_alerta} WHERE id_alerta % 11 <> 0""",
+    "fx_ciclo": """
+        SELECT id_ciclo, id_animal, fecha_inicio, tipo_evento, id_ciclo % 10 AS id_veterinario_inicio,
+               fecha_inicio + 30 AS fecha_estimada_palp1, fecha_inicio + 60 AS fecha_estimada_palp2,
+               fecha_inicio + 283 AS fecha_estimada_parto, estado_ciclo,
+               CASE WHEN id_ciclo % 6 > 0 THEN fecha_inicio + 30 END AS fecha_palpacion1,
+               CASE id_ciclo % 6 WHEN 0 THEN NULL WHEN 2 THEN 'Vacía' ELSE 'Preñada' END AS resultado_palpacion1,
+               CASE WHEN id_ciclo % 6 > 0 THEN id_ciclo % 10 END AS id_veterinario_palp1,
+               CASE WHEN id_ciclo % 6 >= 3 THEN fecha_inicio + 60 END AS fecha_palpacion2,
+               CASE WHEN id_ciclo % 6 >= 3 THEN 'Preñada' END AS resultado_palpacion2,
+               CASE WHEN id_ciclo % 6 >= 3 THEN id_ciclo % 10 END AS id_veterinario_palp2,
+               fecha_parto_real, resultado_parto,
+               CASE WHEN id_ciclo % 6 >= 4 THEN id_ciclo % 10 END AS id_veterinario_parto
+        FROM {tbl_ciclo_reproductivo}""",
+    "fx_ciclo_despues": """
+        SELECT id_ciclo, id_animal,
+               CASE WHEN id_ciclo % 5 = 0 THEN estado_ciclo
+                    ELSE CASE estado_ciclo
+                         WHEN 'Pendiente Palpación 1' THEN
+                             CASE WHEN id_ciclo % 4 = 0 THEN 'Vacía' ELSE 'Preñez Provisional' END
+                         WHEN 'Preñez Provisional' THEN
+                             CASE WHEN id_ciclo % 4 = 1 THEN 'Vacía' ELSE 'Preñez Confirmada' END
+                         WHEN 'Preñez Confirmada' THEN
+                             CASE WHEN id_ciclo % 4 = 1 THEN 'Abortado' ELSE 'Parto Exitoso' END
+                         WHEN 'Parto Exitoso' THEN 'Abortado' ELSE estado_ciclo END END AS estado_ciclo
+        FROM {tbl_ciclo_reproductivo}""",
+    "fx_ciclo_quedan": "SELECT id_ciclo, id_animal FROM {tbl_ciclo_reproductivo} WHERE id_ciclo % 13 <> 0",
+    "fx_programacion_despues": """
+        SELECT id_programacion, id_registro_san, fecha_programada,
+               CASE WHEN estado = 'Pendiente' AND id_programacion % 2 = 0 THEN 'Aplicado'
+                    ELSE estado END AS estado
+        FROM {tbl_programacion_sanitaria}""",
+    "fx_alerta_sanidad": """
+        SELECT row_number() OVER (ORDER BY fecha_programada, id_animal) AS id_alerta, 'Sanidad' AS modulo,
+               id_animal, 'Próxima dosis' AS tipo, 'Normal' AS prioridad, fecha_programada,
+               CASE WHEN id_animal % 9 = 0 THEN 'Cancelada' ELSE 'Pendiente' END AS estado
+        FROM (SELECT DISTINCT a.id_animal, p.fecha_programada
+              FROM {tbl_registro_sanitario_animal} a
+              JOIN {tbl_programacion_sanitaria} p ON a.id_registro_san = p.id_registro_san) x""",
+}
+
+_NAMES = re.compile(r"\b(?:in_tbl|tbl|fx)_[a-z_0-9]+")
 
 
 class Tables:
@@ -360,7 +426,10 @@ class Tables:
         self._cache: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._cache:
+            reader = self.spark.read.schema(BASE[name])
+            self._cache[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._cache[name]
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL whose ``{name}`` placeholders are source files or derived tables."""
@@ -385,30 +454,30 @@ class Tables:
             .selectExpr(f"o_orderkey AS {key}", "o_custkey AS id_animal", f"{_DAY} AS fecha_inicio")
         )
         rows = next_value(rows, ["id_animal"], key, F.col("fecha_inicio"), "sig")
-        return rows.select(
-            key,
-            "id_animal",
-            *(F.expr(c) for c in columns),
-            "fecha_inicio",
-            F.col("sig").alias("fecha_fin"),
-            F.col("sig").isNull().alias("es_vigente"),
+        return rows.selectExpr(
+            key, "id_animal", *columns, "fecha_inicio", "sig AS fecha_fin", "sig IS NULL AS es_vigente"
         )
 
-    def _intake(self, table: str) -> DataFrame:
-        df = self.narrow(table)
-        if table in EXTRA:
-            df = df.withColumns({c: F.expr(e) for c, e in EXTRA[table].items()})
-        if table in DIRTY:
-            df = df.withColumns({c: F.expr(e) for c, e in DIRTY[table].items()})
-        return df
+    def intake(self, table: str) -> DataFrame:
+        """The columns a table brings, with extra references and planted errors."""
+        if f"in_{table}" not in self._cache:
+            df = self.narrow(table)
+            dirty = DIRTY.get(table, {})
+            extra = EXTRA.get(table, {})
+            if dirty or extra:
+                kept = [f"{dirty[c]} AS {c}" if c in dirty else c for c in df.columns]
+                df = df.selectExpr(*kept, *(f"{e} AS {c}" for c, e in extra.items()))
+            self._cache[f"in_{table}"] = df
+        return self._cache[f"in_{table}"]
 
     def __getitem__(self, name: str) -> DataFrame:
-        """``tbl_x`` is a clean table, ``in_tbl_x`` the same with planted errors."""
+        """A derived table with its full schema."""
+        if name in FIXTURES and name not in self._cache:
+            self._cache[name] = self.sql(FIXTURES[name])
         if name not in self._cache:
-            table = TABLES[name.removeprefix("in_")]
-            df = self._intake(table.name) if name.startswith("in_") else self.narrow(name)
-            df = fill_defaults(df, table, self.as_of, self.run_ts)
-            self._cache[name] = with_generated(df, table)
+            table = TABLES[name]
+            df = fill_defaults(self.narrow(name), table, self.as_of, self.run_ts)
+            self._cache[name] = with_generated(df, table) if table.generated else df
         return self._cache[name]
 
 
@@ -432,11 +501,15 @@ def with_tables(sql: str) -> str:
             dirty = ", ".join(f"{e} AS {c}" for c, e in DIRTY.get(table, {}).items())
             extra = "".join(f", {e} AS {c}" for c, e in EXTRA.get(table, {}).items())
             ctes[name] = f"SELECT * {f'REPLACE ({dirty})' if dirty else ''}{extra} FROM {table}"
+        elif name in FIXTURES:
+            for used in _NAMES.findall(FIXTURES[name]):
+                add(used)
+            ctes[name] = FIXTURES[name].replace("{", "").replace("}", "")
         else:
-            ctes[name] = DERIVED[name].format(**{b: b for b in BASE})
+            ctes[name] = DERIVED[name].replace("{", "").replace("}", "")
 
     for name in dict.fromkeys(_NAMES.findall(sql)):
-        if name.removeprefix("in_") in DERIVED:
+        if name.removeprefix("in_") in DERIVED or name in FIXTURES:
             add(name)
     head = ",\n".join(f"{n} AS ({q})" for n, q in ctes.items())
     body = sql.strip()
