@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.derived import Tables, with_tables
-from . import changes, quality, reports
+from . import changes, commands, cycles, quality, reports
 from .settings import AS_OF, RUN_TS
 
-MODULES = (reports, changes, quality)
+MODULES = (reports, changes, commands, cycles, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

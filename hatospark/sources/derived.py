@@ -407,12 +407,181 @@ FIXTURES = {
                     ELSE estado END AS estado
         FROM {tbl_programacion_sanitaria}""",
     "fx_alerta_sanidad": """
-        SELECT row_number() OVER (ORDER BY fecha_programada, id_animal) AS id_alerta, 'Sanidad' AS modulo,
-               id_animal, 'Próxima dosis' AS tipo, 'Normal' AS prioridad, fecha_programada,
+        SELECT id_animal * 100000000 + year(fecha_programada) * 10000 + month(fecha_programada) * 100
+                   + day(fecha_programada) AS id_alerta,
+               'Sanidad' AS modulo, id_animal, 'Próxima dosis' AS tipo, 'Normal' AS prioridad, fecha_programada,
                CASE WHEN id_animal % 9 = 0 THEN 'Cancelada' ELSE 'Pendiente' END AS estado
         FROM (SELECT DISTINCT a.id_animal, p.fecha_programada
               FROM {tbl_registro_sanitario_animal} a
               JOIN {tbl_programacion_sanitaria} p ON a.id_registro_san = p.id_registro_san) x""",
+    "fx_causa_pedida": """
+        SELECT event_id AS seq,
+               CASE WHEN event_id % 50 = 49 THEN 'Fiebre'
+                    ELSE CASE event_id % 4 WHEN 0 THEN 'Digestivo' WHEN 1 THEN 'Diarrea'
+                         WHEN 2 THEN 'DIGESTIVO ' ELSE 'Otros' END END AS principal,
+               CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 1 THEN upper(event_type)
+                    WHEN event_id % 6 = 2 THEN concat(event_type, ' ')
+                    WHEN event_id % 6 = 3 THEN concat('nation_', CAST(event_id % 30 AS VARCHAR(20)))
+                    WHEN event_id % 6 = 4 THEN concat('Síntoma ', CAST(event_id % 90 AS VARCHAR(20)))
+                    ELSE concat('SINTOMA ', CAST(event_id % 90 AS VARCHAR(20))) END AS detalle
+        FROM {events}""",
+    "fx_alta": """
+        SELECT c_custkey AS seq,
+               CASE WHEN c_custkey % 50 = 7 THEN 'Buey' ELSE CASE c_custkey % 3 WHEN 0 THEN 'Vaca'
+                    WHEN 1 THEN 'Toro' ELSE 'Ternero' END END AS tipo,
+               CASE WHEN c_custkey % 10 = 0 THEN lower(c_name) ELSE concat('N', c_name) END AS arete,
+               CASE WHEN c_custkey % 50 = 9 THEN '12345'
+                    WHEN c_custkey % 10 = 1 THEN lpad(CAST(c_custkey AS VARCHAR(20)), 6, '0')
+                    ELSE lpad(CAST(c_custkey + 500000 AS VARCHAR(20)), 6, '0') END AS trazabilidad,
+               CASE WHEN c_custkey % 30 = 4 THEN NULL WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sexo,
+               CASE WHEN c_custkey % 60 = 5 THEN 99 ELSE c_nationkey + 1 END AS id_raza,
+               c_custkey % 26 + 1 AS id_manga,
+               CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 5 + 1 END AS id_procedencia,
+               DATE '1998-01-31' + CAST(c_custkey % 90 AS INT) AS fecha_nac,
+               CAST((c_custkey * 7919 % 6000 + 2000) / 100.0 AS DECIMAL(7,2)) AS peso,
+               CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Ceba' WHEN 2 THEN 'Trabajo'
+                    ELSE 'Levante' END AS proposito,
+               CASE WHEN c_custkey % 9 = 2 THEN -5 WHEN c_custkey % 8 = 0 THEN NULL
+                    ELSE c_custkey - c_custkey % 3 END AS id_madre,
+               CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 1 END AS id_padre,
+               c_custkey % 10 AS id_usuario
+        FROM {customer}""",
+    "fx_promocion": """
+        SELECT c_custkey AS seq,
+               CASE WHEN c_custkey % 37 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS id_animal,
+               CASE WHEN c_custkey % 4 < 2 THEN 'Vaca' ELSE 'Toro' END AS nuevo_tipo,
+               CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'Ceba' END AS proposito,
+               c_custkey % 10 AS id_usuario
+        FROM {customer}""",
+    "fx_alerta_pedida": """
+        SELECT event_id AS seq,
+               CASE event_id % 5 WHEN 0 THEN 'Inventario' WHEN 1 THEN 'General' WHEN 2 THEN 'Mortalidad'
+                    WHEN 3 THEN 'Otro' ELSE 'Sanidad' END AS modulo,
+               CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 2000 END AS id_animal,
+               event_type AS tipo, props AS descripcion,
+               CASE event_id % 4 WHEN 0 THEN 'Urgente' WHEN 1 THEN 'Normal' WHEN 2 THEN 'Baja'
+                    ELSE CASE WHEN event_id % 8 = 3 THEN NULL ELSE 'Normal' END END AS prioridad,
+               CAST(ts AS DATE) AS fecha_prog, event_id % 2 = 0 AS enviar_correo,
+               CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 10 END AS id_usuario
+        FROM {events}""",
+    "fx_atencion": """
+        SELECT event_id AS seq, event_id - event_id % 3 AS id_alerta, event_id % 11 AS id_usuario
+        FROM {events}""",
+    "fx_sanidad": """
+        SELECT o_orderkey AS seq,
+               CASE WHEN o_orderkey % 40 = 13 THEN 'Otra' WHEN o_orderkey % 3 = 2 THEN 'Mastitis'
+                    ELSE 'Tratamiento' END AS categoria,
+               CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'refuerzo' END AS sub_tipo,
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'Preventivo' END AS proposito,
+               CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 210 END AS id_producto,
+               CAST((o_orderkey % 3000) / 100.0 AS DECIMAL(8,2)) AS dosis_valor, 'ml' AS dosis_unidad,
+               CAST(o_orderdate AS DATE) AS fecha_aplicacion,
+               CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'Semanal' END AS repeticion,
+               CAST(NULL AS INT) AS intervalo_dias, CAST(NULL AS INT) AS duracion_dias,
+               o_orderkey % 25 + 1 AS id_causa, CAST(NULL AS VARCHAR(20)) AS notas,
+               o_orderkey % 10 AS id_veterinario, o_orderkey % 10 AS id_usuario,
+               CASE WHEN o_orderkey % 19 = 0 THEN NULL
+                    ELSE concat('[', CAST(o_custkey AS VARCHAR(20)), ',', CAST(CASE
+                         WHEN o_orderkey % 97 = 5 THEN 99999999
+                         ELSE (o_custkey + o_orderkey % 3) % (SELECT count(*) FROM {customer}) END
+                         AS VARCHAR(20)), ']') END AS animales_json,
+               CASE WHEN o_orderkey % 53 = 7 THEN '["1998-07-01","mal"]' WHEN o_orderkey % 4 = 0 THEN NULL
+                    WHEN o_orderkey % 4 = 1 THEN '[]'
+                    ELSE '["1998-07-01","1998-07-08"]' END AS cronograma_json,
+               CASE WHEN o_orderkey % 7 = 0 THEN NULL
+                    ELSE concat('[{{"id_animal":', CAST(o_custkey AS VARCHAR(20)), ',"ad":"Sana","pd":"',
+                         CASE WHEN o_orderkey % 31 = 2 THEN 'Rota' ELSE 'Leve' END,
+                         '","ai":"Sana","pi":"Moderada"}}]') END AS mastitis_json
+        FROM {orders}""",
+    "fx_sanidad_manga": """
+        SELECT n_nationkey AS seq, n_nationkey + 1 AS id_manga,
+               CASE WHEN n_nationkey % 9 = 4 THEN 'Otra' ELSE 'Vacunación' END AS categoria,
+               CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 'aftosa' END AS sub_tipo,
+               'Preventivo' AS proposito, n_nationkey AS id_producto,
+               CAST(5 AS DECIMAL(8,2)) AS dosis_valor, 'cc' AS dosis_unidad,
+               DATE '1998-06-01' AS fecha_aplicacion, 'Única' AS repeticion,
+               CAST(NULL AS INT) AS intervalo_dias, CAST(NULL AS INT) AS duracion_dias,
+               CAST(NULL AS INT) AS id_causa, CAST(NULL AS VARCHAR(20)) AS notas,
+               n_nationkey % 10 AS id_veterinario, n_nationkey % 10 AS id_usuario,
+               CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '["1998-07-01"]'
+                    ELSE '["1998-07-01","1998-07-08"]' END AS cronograma_json
+        FROM {nation}""",
+    "fx_venta": """
+        SELECT c_custkey AS seq, c_custkey AS id_baja,
+               CASE WHEN c_custkey % 130 = 1 THEN NULL
+                    ELSE CAST((c_custkey * 977 % 900000 + 100000) / 100.0 AS DECIMAL(12,2)) END AS precio,
+               CAST(c_custkey % 1100 / 100.0 AS DECIMAL(5,2)) AS comision_pct,
+               CAST(NULL AS VARCHAR(20)) AS notas, c_custkey % 10 AS id_usuario
+        FROM {customer}""",
+    "fx_liquidacion": """
+        SELECT c_custkey AS seq,
+               CASE WHEN c_custkey % 50 = 3 THEN DATE '1980-01-01'
+                    ELSE DATE '1995-01-01' + CAST(c_custkey * 13 % 2300 AS INT) END AS fecha_inicio,
+               CASE WHEN c_custkey % 50 = 3 THEN DATE '1980-12-31'
+                    ELSE DATE '1995-01-01' + CAST(c_custkey * 13 % 2300 + c_custkey * 7 % 700 - 20 AS INT)
+                    END AS fecha_fin,
+               CAST(0.4525 AS DECIMAL(8,4)) AS precio_litro,
+               CAST(c_custkey % 40 * 50 AS DECIMAL(12,2)) AS descuentos,
+               CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS comprador,
+               CAST(NULL AS VARCHAR(20)) AS notas, c_custkey % 10 AS id_usuario
+        FROM {customer}""",
+    "fx_orden_palpacion": """
+        SELECT id_ciclo AS seq, id_ciclo, id_ciclo % 7 AS id_usuario,
+               fecha_inicio + CASE grupo % 8 WHEN 5 THEN -2 WHEN 6 THEN 30 WHEN 7 THEN 60 ELSE 65 END AS fecha,
+               CASE grupo % 3 WHEN 0 THEN 'Preñada' WHEN 1 THEN 'Vacía' ELSE 'Dudosa' END AS resultado,
+               CASE WHEN grupo % 11 = 4 THEN 999999999 ELSE id_ciclo % 10 END AS id_veterinario
+        FROM (SELECT id_ciclo, fecha_inicio, CAST(floor(id_ciclo / 6.0) AS BIGINT) AS grupo
+              FROM {fx_ciclo}) x""",
+    "fx_orden_parto": """
+        SELECT id_ciclo AS seq, id_ciclo, id_ciclo % 7 AS id_usuario,
+               fecha_inicio + CASE grupo % 8 WHEN 5 THEN -2 WHEN 6 THEN 50 ELSE 285 END AS fecha,
+               CASE grupo % 3 WHEN 0 THEN 'Exitoso' WHEN 1 THEN 'Abortado' ELSE 'Dudoso' END AS resultado,
+               CASE WHEN grupo % 11 = 4 THEN 999999999 ELSE id_ciclo % 10 END AS id_veterinario
+        FROM (SELECT id_ciclo, fecha_inicio, CAST(floor(id_ciclo / 6.0) AS BIGINT) AS grupo
+              FROM {fx_ciclo}) x""",
+    "fx_orden_servicio": """
+        SELECT id_ciclo AS seq, id_ciclo, id_ciclo % 7 AS id_usuario,
+               fecha_inicio + CASE grupo % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 4000 ELSE -5 END AS fecha,
+               CASE grupo % 5 WHEN 0 THEN 'Otro' WHEN 1 THEN 'Monta Natural'
+                    ELSE 'Inseminación Artificial' END AS tipo_evento,
+               CASE WHEN grupo % 11 = 4 THEN 999999999 ELSE id_ciclo % 10 END AS id_veterinario
+        FROM (SELECT id_ciclo, fecha_inicio, CAST(floor(id_ciclo / 6.0) AS BIGINT) AS grupo
+              FROM {fx_ciclo}) x""",
+    "fx_ciclo_lote": """
+        SELECT id_ciclo, id_animal, fecha_inicio, tipo_evento, id_veterinario_inicio, fecha_estimada_palp1,
+               fecha_estimada_palp2, fecha_estimada_parto,
+               CASE WHEN id_ciclo % 6 < 4 AND id_ciclo % 4 > 0 THEN 'Vacía' ELSE estado_ciclo END AS estado_ciclo,
+               fecha_palpacion1, resultado_palpacion1, id_veterinario_palp1, fecha_palpacion2,
+               resultado_palpacion2, id_veterinario_palp2, fecha_parto_real, resultado_parto,
+               id_veterinario_parto
+        FROM {fx_ciclo}""",
+    "fx_lote": """
+        SELECT id_ciclo * 16 + (id_ciclo * 5 + k * 3) % 16 AS seq, id_ciclo, id_animal, id_ciclo % 7 AS id_usuario,
+               CASE k % 8 WHEN 0 THEN 'registrar_palpacion1' WHEN 1 THEN 'editar_servicio'
+                    WHEN 2 THEN 'registrar_palpacion2' WHEN 3 THEN 'editar_palpacion1'
+                    WHEN 4 THEN 'registrar_parto' WHEN 5 THEN 'editar_palpacion2'
+                    WHEN 6 THEN 'editar_parto' ELSE 'iniciar_ciclo' END AS orden,
+               fecha_inicio + CASE k % 8 WHEN 0 THEN 31 WHEN 1 THEN CAST(id_ciclo % 3 AS INT)
+                    WHEN 2 THEN 62 WHEN 3 THEN 30 + CAST(id_ciclo % 4 AS INT) + k WHEN 4 THEN 280
+                    WHEN 5 THEN 60 + CAST(id_ciclo % 5 AS INT) + k WHEN 6 THEN 284 ELSE 300 END AS fecha,
+               CASE WHEN k % 8 = 4 OR k % 8 = 6 THEN
+                         CASE WHEN (id_ciclo + k) % 3 = 0 THEN 'Abortado' ELSE 'Exitoso' END
+                    WHEN (id_ciclo + k) % 5 = 0 THEN 'Vacía' WHEN (id_ciclo + k) % 13 = 0 THEN 'Dudosa'
+                    ELSE 'Preñada' END AS resultado,
+               CASE WHEN (id_ciclo + k) % 2 = 0 THEN 'Monta Natural' ELSE 'Inseminación Artificial' END
+                   AS tipo_evento,
+               (id_ciclo + k) % 10 AS id_veterinario
+        FROM {fx_ciclo}, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3
+             UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8
+             UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12
+             UNION ALL SELECT 13 UNION ALL SELECT 14 UNION ALL SELECT 15) ks""",
+    "fx_inicio": """
+        SELECT c_custkey AS seq, c_custkey AS id_animal,
+               CASE WHEN c_custkey % 20 = 3 THEN NULL ELSE DATE '1998-05-01' + CAST(c_custkey % 30 AS INT)
+                    END AS fecha_inicio,
+               CASE WHEN c_custkey % 2 = 0 THEN 'Monta Natural' ELSE 'Inseminación Artificial' END AS tipo_evento,
+               CASE WHEN c_custkey % 11 = 4 THEN 999999999 ELSE c_custkey % 10 END AS id_veterinario
+        FROM {customer}""",
 }
 
 _NAMES = re.compile(r"\b(?:in_tbl|tbl|fx)_[a-z_0-9]+")
@@ -436,6 +605,10 @@ class Tables:
         names = set(re.findall(r"\{(\w+)\}", text))
         return self.spark.sql(text, **{n: self.base(n) if n in BASE else self[n] for n in names})
 
+    def _fixture(self, name: str) -> DataFrame:
+        text = re.sub(r", \(SELECT 0 AS k.*?\) ks", " LATERAL VIEW explode(sequence(0, 15)) ks AS k", FIXTURES[name], flags=re.S)
+        return self.sql(text)
+
     def narrow(self, name: str) -> DataFrame:
         """A derived table with only the columns its rule states."""
         if name in HISTORY_COLUMNS:
@@ -473,7 +646,7 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         """A derived table with its full schema."""
         if name in FIXTURES and name not in self._cache:
-            self._cache[name] = self.sql(FIXTURES[name])
+            self._cache[name] = self._fixture(name)
         if name not in self._cache:
             table = TABLES[name]
             df = fill_defaults(self.narrow(name), table, self.as_of, self.run_ts)
@@ -482,6 +655,11 @@ class Tables:
 
 
 
+def _plain(text: str) -> str:
+    """The SQL with every placeholder replaced by the name it stands for."""
+    return text.format(**{n: n for n in (*BASE, *DERIVED, *FIXTURES)})
+
+
 def delivered_columns(table: str) -> list[str]:
     """The model columns an intake table really brings."""
     named = set(re.findall(r"\bAS (\w+)", DERIVED[table])) | set(EXTRA.get(table, {}))
@@ -504,9 +682,9 @@ def with_tables(sql: str) -> str:
         elif name in FIXTURES:
             for used in _NAMES.findall(FIXTURES[name]):
                 add(used)
-            ctes[name] = FIXTURES[name].replace("{", "").replace("}", "")
+            ctes[name] = _plain(FIXTURES[name])
         else:
-            ctes[name] = DERIVED[name].replace("{", "").replace("}", "")
+            ctes[name] = _plain(DERIVED[name])
 
     for name in dict.fromkeys(_NAMES.findall(sql)):
         if name.removeprefix("in_") in DERIVED or name in FIXTURES:
