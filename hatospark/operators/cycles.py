@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import checkpoint
 from ..functions.ids import assign_ids
 from ..functions.sequence import previous_value
 from .changes import set_cow_state
@@ -156,6 +157,22 @@ class _Replay:
 
     # -- phases --
 
+    def play(self) -> None:
+        """Run the phases in order.
+
+        A phase reads the cycles several times, so its plan must not hold the
+        plan of the phase before: the cycles are written out in between.
+        """
+        busy = {PHASE[name] for name in self.orders}
+        played = 0
+        for number, phase in enumerate((self.service, self.first_check, self.second_check, self.birth)):
+            if number in busy and played:
+                self.cycles = checkpoint(self.cycles)
+            phase()
+            played += number in busy
+        if played > 1:
+            self.cycles = checkpoint(self.cycles)
+
     def service(self) -> None:
         valid = f"fecha <= {self.today} AND tipo_evento IN ('Monta Natural', 'Inseminación Artificial') AND NOT sin_vet"
         edits = self.candidates("editar_servicio", valid)
@@ -508,10 +525,7 @@ def reproducir_ciclos(
     requests for new cycles.  ``seq`` is unique over all of them.
     """
     run = _Replay(ciclo, ordenes, colaborador, as_of)
-    run.service()
-    run.first_check()
-    run.second_check()
-    run.birth()
+    run.play()
     cycles = run.cycles.select(run.columns)
     created = run.new_alerts()
     rejected = [run.rejected()] if ordenes else []

@@ -120,20 +120,20 @@ QUERIES = {
     "aplicar_movimientos_manga": lambda t: C.aplicar_movimientos_manga(
         t["fx_animal_activo"], t["tbl_movimiento_manga"]
     ).select("id_animal", "arete", "id_manga_actual"),
-    "sincronizar_ciclos__tbl_vaca_detalle": lambda t: _cycles(t)["tbl_vaca_detalle"].select(
+    "sincronizar_ciclos__tbl_vaca_detalle": lambda t: t.once(_cycles)["tbl_vaca_detalle"].select(
         "id_vaca_detalle", "id_animal", "estado_reproductivo", "es_vigente"
     ),
-    "sincronizar_ciclos__tbl_alerta_reproductiva": lambda t: _cycles(t)["tbl_alerta_reproductiva"].select(
+    "sincronizar_ciclos__tbl_alerta_reproductiva": lambda t: t.once(_cycles)["tbl_alerta_reproductiva"].select(
         "id_alerta", "id_ciclo", "tipo_alerta", "estado_alerta"
     ),
     "revertir_ciclos_borrados": lambda t: C.revertir_ciclos_borrados(
         t["tbl_ciclo_reproductivo"], t["fx_ciclo_quedan"], t["tbl_vaca_detalle"]
     ).select("id_vaca_detalle", "id_animal", "estado_reproductivo", "es_vigente"),
-    "cerrar_alertas_sanidad__tbl_alerta": lambda t: _health(t)["tbl_alerta"].select(
+    "cerrar_alertas_sanidad__tbl_alerta": lambda t: t.once(_health)["tbl_alerta"].select(
         "id_alerta", "id_animal", "fecha_programada", "estado", "fecha_atendida"
     ),
     "cerrar_alertas_sanidad__tbl_auditoria_alerta": lambda t: _pick(
-        _health(t)["tbl_auditoria_alerta"], _AUDIT
+        t.once(_health)["tbl_auditoria_alerta"], _AUDIT
     ),
     "contabilizar_compras": lambda t: C.contabilizar_compras(t[_MOV], t["tbl_insumo"]),
     "contabilizar_ventas": lambda t: C.contabilizar_ventas(t[_MOV], t["tbl_insumo"]),

@@ -119,7 +119,7 @@ OUTPUTS = {
 }
 
 QUERIES = {
-    f"{name}__{output}": lambda t, run=run, output=output, columns=columns: _pick(run(t)[output], columns)
+    f"{name}__{output}": lambda t, run=run, output=output, columns=columns: _pick(t.once(run)[output], columns)
     for (name, run), outputs in OUTPUTS.items()
     for output, columns in outputs.items()
 }

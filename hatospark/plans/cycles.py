@@ -114,11 +114,11 @@ for _name in REQUESTS:
             continue
         if _table == "tbl_vaca_detalle" and _name == "editar_servicio":
             continue
-        QUERIES[f"{_name}__{_table}"] = lambda t, n=_name, o=_table, c=_columns: _one(t, n)[o].select(*c)
+        QUERIES[f"{_name}__{_table}"] = lambda t, n=_name, o=_table, c=_columns: t.once(_one, n)[o].select(*c)
 for _table, _columns in SHOWN.items():
-    QUERIES[f"reproducir_ciclos__{_table}"] = lambda t, o=_table, c=_columns: _batch(t)[o].select(*c)
+    QUERIES[f"reproducir_ciclos__{_table}"] = lambda t, o=_table, c=_columns: t.once(_batch)[o].select(*c)
 for _table in ("tbl_ciclo_reproductivo", "tbl_alerta_reproductiva", "rechazadas"):
-    QUERIES[f"iniciar_ciclos__{_table}"] = lambda t, o=_table, c=SHOWN[_table]: _starts(t)[o].select(*c)
+    QUERIES[f"iniciar_ciclos__{_table}"] = lambda t, o=_table, c=SHOWN[_table]: t.once(_starts)[o].select(*c)
 
 
 # -- oracle ------------------------------------------------------------------------

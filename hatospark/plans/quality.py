@@ -33,6 +33,16 @@ def _pen_renames(t):
     return _one_pen(t).selectExpr("id_manga AS old", "id_manga + 1000 AS new")
 
 
+def _deleted(t, table):
+    keys = _some_animals(t) if table == "tbl_animal" else _one_pen(t)
+    return Q.delete_rows(_intake(t), table, keys)
+
+
+def _renamed(t, table):
+    renames = _animal_renames(t) if table == "tbl_animal" else _pen_renames(t)
+    return Q.rename_keys(_intake(t), table, renames)
+
+
 GENERATED = {
     "tbl_produccion_leche": ["total_litros"],
     "tbl_movimiento_insumo": ["total"],
@@ -77,28 +87,20 @@ for _name, _cols in DEFAULTED.items():
     QUERIES[f"valores_defecto__{_name}"] = lambda t, n=_name, c=_cols: _pick(
         Q.fill_defaults(t.narrow(n), TABLES[n], AS_OF, RUN_TS), c
     )
-QUERIES["borrado_en_cascada__bloqueados"] = lambda t: Q.delete_rows(
-    _intake(t), "tbl_animal", _some_animals(t)
-)["bloqueados"]
+QUERIES["borrado_en_cascada__bloqueados"] = lambda t: t.once(_deleted, "tbl_animal")["bloqueados"]
 for _name, _cols in ANIMAL_CHILDREN.items():
     QUERIES[f"borrado_en_cascada__{_name}"] = lambda t, n=_name, c=_cols: _pick(
-        Q.delete_rows(_intake(t), "tbl_animal", _some_animals(t))[n], c
+        t.once(_deleted, "tbl_animal")[n], c
     )
-QUERIES["borrado_en_cascada__manga_bloqueada"] = lambda t: Q.delete_rows(
-    _intake(t), "tbl_manga", _one_pen(t)
-)["bloqueados"]
-QUERIES["cambio_de_clave__bloqueados"] = lambda t: Q.rename_keys(
-    _intake(t), "tbl_animal", _animal_renames(t)
-)["bloqueados"]
+QUERIES["borrado_en_cascada__manga_bloqueada"] = lambda t: t.once(_deleted, "tbl_manga")["bloqueados"]
+QUERIES["cambio_de_clave__bloqueados"] = lambda t: t.once(_renamed, "tbl_animal")["bloqueados"]
 for _name, _cols in ANIMAL_CHILDREN.items():
     if _name in ("tbl_toro_inseminacion", "tbl_auditoria_alerta"):
         continue
     QUERIES[f"cambio_de_clave__{_name}"] = lambda t, n=_name, c=_cols: _pick(
-        Q.rename_keys(_intake(t), "tbl_animal", _animal_renames(t))[n], c
+        t.once(_renamed, "tbl_animal")[n], c
     )
-QUERIES["cambio_de_clave__manga_tbl_animal"] = lambda t: Q.rename_keys(
-    _intake(t), "tbl_manga", _pen_renames(t)
-)["tbl_animal"].select("id_animal", "id_manga_actual")
+QUERIES["cambio_de_clave__manga_tbl_animal"] = lambda t: t.once(_renamed, "tbl_manga")["tbl_animal"].select("id_animal", "id_manga_actual")
 
 
 # -- oracle ------------------------------------------------------------------------

@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.derived import Tables, with_tables
-from . import changes, commands, cycles, quality, reports
+from . import changes, commands, cycles, quality, reports, streams
 from .settings import AS_OF, RUN_TS
 
-MODULES = (reports, changes, commands, cycles, quality)
+MODULES = (reports, changes, streams, commands, cycles, quality)
+
+_tables: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables of a directory; the outputs of one operator share its plan."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        _tables[key] = Tables(spark, sf_dir, AS_OF, RUN_TS)
+    return _tables[key]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build):
-        return lambda spark, sf_dir: build(Tables(spark, sf_dir, AS_OF, RUN_TS))
+        return lambda spark, sf_dir: build(tables(spark, sf_dir))
 
     return {name: bind(build) for m in MODULES for name, build in m.QUERIES.items()}
 

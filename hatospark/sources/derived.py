@@ -593,6 +593,13 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: str, run_ts: str):
         self.spark, self.sf_dir, self.as_of, self.run_ts = spark, sf_dir, as_of, run_ts
         self._cache: dict[str, DataFrame] = {}
+        self._runs: dict = {}
+
+    def once(self, run, *args) -> dict[str, DataFrame]:
+        """The outputs of an operator run, planned once for all of them."""
+        if (run, args) not in self._runs:
+            self._runs[run, args] = run(self, *args)
+        return self._runs[run, args]
 
     def base(self, name: str) -> DataFrame:
         if name not in self._cache:
