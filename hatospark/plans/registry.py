@@ -32,3 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_tables(sql) for m in MODULES for name, sql in m.ORACLE.items()}
+
+
+def forget() -> None:
+    """Drop the shared plans, so that the next call plans from scratch."""
+    _tables.clear()
