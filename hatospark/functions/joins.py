@@ -16,24 +16,25 @@ def left_join_many(
     A left outer join cannot split its right side, so a key with more than
     ``slot_rows`` rows is spread over several slots: the left row is repeated
     once per slot and each right row goes to one of them.  At most
-    rows / ``slot_rows`` keys are that large, which bounds the list of hot keys.
+    rows / ``slot_rows`` keys are that large, so the list of hot keys is small
+    enough to broadcast whatever the size of the tables.
     """
-    sizes = right.groupBy(key).agg(F.ceil(F.count("*") / slot_rows).alias("_slots"))
-    hot = sizes.filter(F.col("_slots") > 1)
-    spread_left = left.join(sizes, key, "left").withColumn(
-        "_slot", F.explode(F.sequence(F.lit(0), (F.coalesce("_slots", F.lit(1)) - 1).cast("int")))
+    hot = F.broadcast(
+        right.groupBy(key)
+        .agg(F.ceil(F.count("*") / slot_rows).cast("int").alias("_slots"))
+        .filter("_slots > 1")
     )
-    spread_right = (
-        right.join(hot, key, "left")
-        .withColumn(
-            "_slot",
-            F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_slots")), F.lit(0)).cast("int"),
-        )
-        .drop("_slots")
-        .withColumn("_hit", F.lit(True))
+    spread_left = left.join(hot, key, "left").selectExpr(
+        *left.columns, "_slots", "explode(sequence(0, coalesce(_slots, 1) - 1)) AS _slot"
     )
+    spread_right = right.join(hot, key, "left").selectExpr(
+        *right.columns,
+        f"CAST(coalesce(pmod(xxhash64({row_id}), _slots), 0) AS INT) AS _slot",
+        "true AS _hit",
+    )
+    # A hot key has matches, so its empty slots are no unmatched rows.
     return (
         spread_left.join(spread_right, [key, "_slot"], "left")
-        .filter(F.col("_hit") | F.col("_slots").isNull())
+        .filter("_hit OR _slots IS NULL")
         .drop("_slot", "_slots", "_hit")
     )

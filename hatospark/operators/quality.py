@@ -54,12 +54,19 @@ def with_generated(df: DataFrame, table: Table) -> DataFrame:
 
 
 def _entries(source: Source, table: Table, structs: list[str], keep: str) -> DataFrame:
-    """Explode one array of structs per row; reads only the columns the structs name."""
-    return (
-        source(table.name)
-        .selectExpr(f"'{table.name}' AS tabla", f"inline(array({', '.join(structs)}))")
-        .filter(keep)
-    )
+    """One row per struct and row; reads only the columns the structs name."""
+    rows = source(table.name)
+    name = f"'{table.name}' AS tabla"
+    if len(structs) == 1:
+        entries = rows.selectExpr(name, f"{structs[0]} AS s").select("tabla", "s.*")
+    else:
+        entries = rows.selectExpr(name, f"inline(array({', '.join(structs)}))")
+    return entries.filter(keep)
+
+
+def _named(number: str, names: list[str], alias: str) -> str:
+    """SQL for the name a number stands for; counting and joining go by number."""
+    return f"element_at(array({', '.join(repr(n) for n in names)}), {number} + 1) AS {alias}"
 
 
 def orphans(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame:
@@ -68,54 +75,85 @@ def orphans(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame
     Each child is read once; its references are counted map-side before the only
     shuffle of child data, so a value held by a third of all rows costs one row.
     """
-    children, parents = [], {}
+    held, rules, parents = [], [], []
     for table in TABLES.values():
         delivered = set(columns_of(table.name))
-        refs = [c for c in table.references if c.name in delivered]
-        if refs:
-            structs = [
-                f"struct('{c.name}' AS columna, '{c.parent}' AS padre, CAST({c.name} AS BIGINT) AS clave)"
-                for c in refs
-            ]
-            children.append(_entries(source, table, structs, "clave IS NOT NULL"))
-            parents.update({c.parent: TABLES[c.parent].key for c in refs})
-    held = _union(children).groupBy("tabla", "columna", "padre", "clave").agg(
-        F.count("*").alias("filas")
-    )
+        structs = []
+        for c in table.references:
+            if c.name in delivered:
+                if c.parent not in parents:
+                    parents.append(c.parent)
+                structs.append(
+                    f"struct({len(rules)} AS regla, {parents.index(c.parent)} AS p, "
+                    f"CAST({c.name} AS BIGINT) AS clave)"
+                )
+                rules.append((table.name, c.name))
+        if structs:
+            held.append(_entries(source, table, structs, "clave IS NOT NULL").drop("tabla"))
+    counted = _union(held).groupBy("regla", "p", "clave").agg(F.count("*").alias("filas"))
     known = _union(
         [
-            source(name).selectExpr(f"'{name}' AS padre", f"CAST({key} AS BIGINT) AS clave")
-            for name, key in parents.items()
+            source(name).selectExpr(f"{i} AS p", f"CAST({TABLES[name].key} AS BIGINT) AS clave")
+            for i, name in enumerate(parents)
         ]
     )
-    return held.join(known, ["padre", "clave"], "left_anti").select(
-        "tabla", "columna", "padre", "clave", "filas"
+    return counted.join(known, ["p", "clave"], "left_anti").selectExpr(
+        _named("regla", [t for t, _ in rules], "tabla"),
+        _named("regla", [c for _, c in rules], "columna"),
+        _named("p", parents, "padre"),
+        "clave",
+        "filas",
     )
 
 
+def _as_number(table: Table, column: str) -> str:
+    is_day = table.column(column).type == T.DateType()
+    return f"CAST(unix_date({column}) AS BIGINT)" if is_day else f"CAST({column} AS BIGINT)"
+
+
+def _as_text(table: Table, column: str, number: str) -> str:
+    is_day = table.column(column).type == T.DateType()
+    value = f"date_from_unix_date(CAST({number} AS INT))" if is_day else number
+    return f"CAST({value} AS STRING)"
+
+
 def duplicate_keys(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame:
     """Primary and unique keys held by more than one row; a NULL never collides.
 
-    ``clave`` shows the smallest spelling among the rows that collide.
+    Keys of numbers and days are counted as numbers, keys with text by the
+    collation of the model; ``clave`` then shows the smallest spelling.
     """
-    plain, textual = [], []
+    plain, textual, rules, shown = [], [], [], []
     for table in TABLES.values():
         delivered = set(columns_of(table.name))
-        sets = [k for k in ((table.key,), *table.unique) if delivered.issuperset(k)]
-        for group, is_text in ((plain, False), (textual, True)):
-            structs = [
-                f"struct('{'+'.join(k)}' AS restriccion, "
-                + "CAST(" + " || '|' || ".join(f"CAST({c} AS STRING)" for c in k) + " AS STRING) AS clave)"
-                for k in sets
-                if is_text == any(table.column(c).type == T.StringType() for c in k)
-            ]
-            if structs:
-                group.append(_entries(source, table, structs, "clave IS NOT NULL"))
+        numbers, texts = [], []
+        for key in ((table.key,), *table.unique):
+            if not delivered.issuperset(key):
+                continue
+            if any(table.column(c).type == T.StringType() for c in key):
+                value = " || '|' || ".join(f"CAST({c} AS STRING)" for c in key)
+                texts.append(f"struct('{'+'.join(key)}' AS restriccion, {value} AS clave)")
+                continue
+            second = _as_number(table, key[1]) if len(key) > 1 else "0L"
+            numbers.append(f"struct({len(rules)} AS regla, {_as_number(table, key[0])} AS k1, {second} AS k2)")
+            text = " || '|' || ".join(_as_text(table, c, k) for c, k in zip(key, ("k1", "k2")))
+            shown.append(f"WHEN {len(rules)} THEN {text}")
+            rules.append((table.name, "+".join(key)))
+        if numbers:
+            plain.append(_entries(source, table, numbers, "k1 IS NOT NULL AND k2 IS NOT NULL").drop("tabla"))
+        if texts:
+            textual.append(_entries(source, table, texts, "clave IS NOT NULL"))
     by_value = (
         _union(plain)
-        .groupBy("tabla", "restriccion", "clave")
+        .groupBy("regla", "k1", "k2")
         .agg(F.count("*").alias("filas"))
         .filter("filas > 1")
+        .selectExpr(
+            _named("regla", [t for t, _ in rules], "tabla"),
+            _named("regla", [r for _, r in rules], "restriccion"),
+            f"CASE regla {' '.join(shown)} END AS clave",
+            "filas",
+        )
     )
     by_text = (
         _union(textual)
