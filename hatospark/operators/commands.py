@@ -233,7 +233,9 @@ def promover_terneros(pedidos: DataFrame, tablas, as_of: str, run_ts: str) -> di
     }
     checked = pedidos.join(known, "id_animal", "left").withColumn("motivo", _first_reason(rules))
     accepted, rejected = _split(checked.select(*pedidos.columns, "motivo"))
-    last = accepted.groupBy("id_animal").agg(F.max_by("nuevo_tipo", "seq").alias("_tipo"))
+    # Spread by ``seq``: the join before left all requests for an animal in one task.
+    spread = accepted.select("id_animal", "nuevo_tipo", "seq").repartition("seq")
+    last = spread.groupBy("id_animal").agg(F.max_by("nuevo_tipo", "seq").alias("_tipo"))
     calf = tablas["tbl_ternero_detalle"]
     closes = F.col("es_vigente") & F.col("_tipo").isNotNull()
     cows = accepted.filter("nuevo_tipo = 'Vaca'").select("seq", "id_animal")

@@ -121,8 +121,12 @@ class _Replay:
         if not found:
             self.cycles = _add(self.cycles, **{f"x{phase}": f"CAST(NULL AS {_EXIT})"})
             return
-        first = _union(found).groupBy("id_ciclo").agg(
-            F.min_by(F.struct(*_EXIT_FIELDS), "seq").alias(f"x{phase}")
+        # Spread by ``seq``: the join before left all commands of a cycle in one task.
+        first = (
+            _union(found)
+            .repartition("seq")
+            .groupBy("id_ciclo")
+            .agg(F.min_by(F.struct(*_EXIT_FIELDS), "seq").alias(f"x{phase}"))
         )
         self.cycles = self.cycles.join(first, "id_ciclo", "left")
 
@@ -576,7 +580,8 @@ def _start(
         ),
     )
     valid = asked.filter("motivo IS NULL")
-    first = valid.groupBy("id_animal").agg(F.min("seq").alias("_primera"))
+    claims = valid.select("id_animal", "seq").repartition("seq")
+    first = claims.groupBy("id_animal").agg(F.min("seq").alias("_primera"))
     valid = valid.join(first, "id_animal")
     accepted = assign_ids(valid.filter("seq = _primera"), "seq", "id_ciclo", ciclo, "id_ciclo")
     # Once a cycle has started, every later request of the cow finds it active.
