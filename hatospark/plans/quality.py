@@ -5,7 +5,7 @@ The oracle lists one SELECT per rule of the model; Spark reads each table once.
 
 from __future__ import annotations
 
-from ..model.columns import CASCADE, RESTRICT
+from ..model.columns import RESTRICT
 from ..model.tables import TABLES, foreign_keys
 from ..operators import quality as Q
 from ..sources.derived import delivered_columns
@@ -148,20 +148,16 @@ def _checks_sql():
     for t in TABLES.values():
         have = {c.name for c in _delivered(t)}
         for name, rule in t.checks.items():
-            if not any(c in rule for c in have):
+            if rule.split()[0] not in have:
                 continue
             if "RLIKE" in rule:
                 column = rule.split()[0]
                 rule = f"regexp_matches({column}, '^[0-9]{{6}}$')"
             parts.append(
                 f"SELECT '{t.name}' AS tabla, '{name}' AS regla, CAST({t.key} AS BIGINT) AS clave "
-                f"FROM {{complete_{t.name}}} WHERE NOT ({rule})"
+                f"FROM in_{t.name} WHERE NOT ({rule})"
             )
-    sql = _union(parts)
-    # The birth date is delivered, the palpation dates come from EXTRA.
-    for t in TABLES.values():
-        sql = sql.replace(f"{{complete_{t.name}}}", f"in_{t.name}")
-    return sql
+    return _union(parts)
 
 
 def _domain_sql():
