@@ -114,10 +114,33 @@ def mixed(
         F.xxhash64(F.lit("mix"), F.col(id_col)).alias("key"),
         F.xxhash64(text).alias("_tie"),
     )
+    return _mixed(sized, weights, share, most).drop("_tie")
+
+
+def _mixed(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
     # Narrow rows, written once: the texts are read a single time.
     sized = checkpoint(sized)
     sums = sized.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n_docs")
     )
-    return taken(sized, targets(sums, weights, share, most)).drop("key", "_tie")
+    return taken(sized, targets(sums, weights, share, most)).drop("key", "n_docs")
+
 
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` with size, source_size, target and taken; columns of these names go."""
+    added = ("size", "source_size", "target", "taken")
+    docs = docs.select(*[c for c in docs.columns if c not in added])
+    place = F.struct("doc_id", "source", F.xxhash64("text").alias("_tie"))
+    sized = docs.select(
+        "doc_id",
+        F.col("source").cast("string").alias("source"),
+        size_of("text").alias("size"),
+        F.xxhash64(F.lit("mix"), F.col("doc_id")).alias("key"),
+        F.xxhash64("text").alias("_tie"),
+    )
+    # Repeated rows get the same numbers each: what all of them take, dealt out evenly.
+    found = _mixed(sized, weights, share, most).groupBy("doc_id", "source", "_tie").agg(
+        *[F.max(c).alias(c) for c in added[:3]], F.floor(F.avg("taken")).alias("taken")
+    )
+    found = found.select(place.alias("_place"), *added)
+    return docs.withColumn("_place", place).join(found, "_place").drop("_place")
