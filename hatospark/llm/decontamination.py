@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint
+from .texts import let
 
 #: Token positions that each mask selects.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -43,28 +44,31 @@ def _if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _best_window() -> Column:
-    """(equal tokens, first item token) of the window that agrees best, from ``h``, ``ih``, ``shift``."""
-    first = F.greatest(F.lit(0), -F.col("shift"))
-    last = F.least(F.size("ih"), F.size("h") - F.col("shift")) - 1
+def _best_window(first: Column, last: Column) -> Column:
+    """(best: equal tokens, at: its place) of the window of ``w`` tokens that agrees best.
+
+    Item tokens ``first`` to ``last`` stand opposite the document's, ``shift`` tokens further on.
+    """
     same = F.transform(
         F.sequence(first, last),
         lambda i: F.when(F.get("h", i + F.col("shift")) == F.get("ih", i), 1).otherwise(0),
     )
-    ends = F.transform(same, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
 
-    def step(state, end):
-        out = F.when(end.i >= F.col("w"), F.get(F.col("same"), end.i - F.col("w"))).otherwise(0)
-        n = state.n + end.x - out
-        better = (n > state.best) & (end.i >= F.col("w") - 1)
-        return F.struct(
-            n.alias("n"),
-            F.when(better, n).otherwise(state.best).alias("best"),
-            F.when(better, end.i - F.col("w") + 1).otherwise(state.at).alias("at"),
-        )
+    def slide(same):
+        def step(state, i):
+            gone = F.coalesce(F.get(same, F.when(i >= F.col("w"), i - F.col("w"))), F.lit(0))
+            n = state.n + F.get(same, i) - gone
+            full = i >= F.col("w") - 1
+            return F.struct(
+                n.alias("n"),
+                F.when(full, F.greatest(state.best, n)).otherwise(state.best).alias("best"),
+                F.when(full & (n > state.best), i - F.col("w") + 1).otherwise(state.at).alias("at"),
+            )
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("best"), F.lit(0).alias("at"))
-    return same, F.aggregate(ends, start, step), first
+        start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("best"), F.lit(0).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(same) - 1), start, step)
+
+    return let(same, slide)
 
 
 def leaks(
@@ -106,12 +110,11 @@ def leaks(
     )
     found = found.distinct().join(_if_small(hits), "version").join(_if_small(items), "item")
     found = found.withColumn("w", F.least(F.lit(WINDOW), F.size("ih")))
-    overlap = F.least(F.size("ih"), F.size("h") - F.col("shift")) - F.greatest(
-        F.lit(0), -F.col("shift")
-    )
-    found = found.filter(overlap >= F.col("w"))
-    same, best, first = _best_window()
-    found = found.withColumn("same", same).withColumn("best", best)
+    first = F.greatest(F.lit(0), -F.col("shift"))
+    last = F.least(F.size("ih"), F.size("h") - F.col("shift")) - 1
+    found = found.filter(last - first + 1 >= F.col("w"))
+    # A one-row explode, so that the filter reads the window instead of computing it again.
+    found = found.select("*", F.explode(F.array(_best_window(first, last))).alias("best"))
     allowed = F.when(F.size("ih") >= WINDOW, ALLOWED).otherwise(0)
     found = found.filter(F.col("best.best") >= F.col("w") - allowed)
     start = first + F.col("best.at")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint, new_folder
 from .components import roots
-from .texts import BLANKS
+from .texts import BLANKS, let
 
 THRESHOLD = 1
 #: Shorter lines are duplicates only if equal: one edit makes another word of them.
@@ -89,20 +89,26 @@ def _tail(text: Column, known: Column, step: Column) -> Column:
 def verified(pairs: DataFrame, x: str, y: str, threshold: int) -> DataFrame:
     """The rows of ``pairs`` whose texts differ by at most ``threshold`` edits of a character."""
     least = F.least(F.length(x), F.length(y))
-    rows = pairs.filter(F.abs(F.length(x) - F.length(y)) <= threshold)
-    rows = rows.withColumn("_head", _shared(x, y, least, _head))
-    rows = rows.withColumn("_tail", _shared(x, y, least - F.col("_head"), _tail))
 
-    def middle(c):
-        size = F.length(c) - F.col("_head") - F.col("_tail")
-        text = F.substring(F.col(c), F.col("_head") + 1, size)
+    def middle(c, head, tail):
+        size = F.length(c) - head - tail
+        text = F.substring(F.col(c), head + 1, size)
         return F.when(size > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
-    rows = rows.withColumn("_x", middle(x)).withColumn("_y", middle(y))
-    return rows.filter(_reaches("_x", "_y", threshold)).drop("_head", "_tail", "_x", "_y")
+    def rest(head):
+        return let(
+            _shared(x, y, least - head, _tail),
+            lambda tail: let(
+                F.struct(middle(x, head, tail).alias("x"), middle(y, head, tail).alias("y")),
+                lambda m: _reaches(m.x, m.y, threshold),
+            ),
+        )
+
+    rows = pairs.filter(F.abs(F.length(x) - F.length(y)) <= threshold)
+    return rows.filter(let(_shared(x, y, least, _head), rest))
 
 
-def _reaches(x: str, y: str, t: int) -> Column:
+def _reaches(x: Column, y: Column, t: int) -> Column:
     """Whether the characters of y can be reached from those of x.
 
     Bit e * W + d + t of the state is set if, with at most e edits, the characters of x read so far
@@ -129,7 +135,7 @@ def _reaches(x: str, y: str, t: int) -> Column:
         """The diagonals on which the character matches, on every level."""
         hits = F.lit(0)
         for d in range(-t, t + 1):
-            other = F.get(F.col(y), F.when(i + d >= 0, i + d))
+            other = F.get(y, F.when(i + d >= 0, i + d))
             hits = hits.bitwiseOR(F.when(other == c, 1 << (d + t)).otherwise(0))
         return (hits * every).cast("bigint")
 

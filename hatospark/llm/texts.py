@@ -20,6 +20,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
+    """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def map_texts(
     rows: DataFrame,
     keep: list[F.Column],
