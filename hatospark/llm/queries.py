@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts
+from . import decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), path)
@@ -55,6 +59,7 @@ QUERIES = {
         op1_decontamination,
         op2_html_text,
         op3_mixing,
+        op4_language_id,
         op5_token_counts,
         op6_quality_classifier,
         op8_simhash,

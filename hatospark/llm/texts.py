@@ -25,14 +25,14 @@ def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def map_texts(
+def map_batches(
     rows: DataFrame,
     keep: list[F.Column],
     text: str,
-    make: Callable[[], Callable[[str | None], tuple]],
+    make: Callable[[], Callable[[list[str | None]], list[tuple]]],
     schema: str,
 ) -> DataFrame:
-    """The columns ``keep`` and, for each row, what ``make()`` returns for its text.
+    """The columns ``keep`` and, for each row, what ``make()`` returns for the texts of its batch.
 
     ``make`` runs once in each task and sets up what the texts share (a vocabulary, a model).
     Batches are turned into results one at a time, so a task holds one batch of texts.
@@ -43,9 +43,9 @@ def map_texts(
     arrow = to_arrow_schema(StructType(added.fields))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
+        each = make()
         for batch in batches:
-            results = [one(t.as_py()) for t in batch.column("_text")]
+            results = each(batch.column("_text").to_pylist())
             columns = list(zip(*results)) if results else [()] * len(arrow)
             arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
             names = [f.name for f in kept] + [f.name for f in arrow]
@@ -54,3 +54,19 @@ def map_texts(
             )
 
     return table.mapInArrow(run, StructType([*kept, *added.fields]))
+
+
+def map_texts(
+    rows: DataFrame,
+    keep: list[F.Column],
+    text: str,
+    make: Callable[[], Callable[[str | None], tuple]],
+    schema: str,
+) -> DataFrame:
+    """``map_batches`` with a function of a single text."""
+
+    def each():
+        one = make()
+        return lambda texts: [one(t) for t in texts]
+
+    return map_batches(rows, keep, text, each, schema)
