@@ -20,7 +20,7 @@ from .texts import held_out, map_batches
 WINDOW, UNITS = 64, 8
 #: The bounded sample a model is trained on: documents of each language, and bytes of each.
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 4096
-STEPS, BATCH, RATE = 300, 256, 0.02
+STEPS, BATCH, RATE = 200, 256, 0.02
 #: Windows that are run through the network at once.
 BLOCK = 2048
 UNKNOWN = "und"
