@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts
+from . import decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
         op4_language_id,
         op5_token_counts,
         op6_quality_classifier,
+        op7_substring_dedup,
         op8_simhash,
         op9_line_dedup,
         op10_quality_rules,
