@@ -13,14 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint
-from .texts import let
+from .texts import if_small, let
 
 #: Token positions that each mask selects.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 WINDOW, ALLOWED = 13, 2
-#: Rows up to which a table (of a few numbers a row) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
 
 
 def token_hashes(text: str | Column) -> Column:
@@ -40,19 +38,12 @@ def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
-def _if_small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
-def _best_window(first: Column, last: Column) -> Column:
+def _best_window() -> Column:
     """(best: equal tokens, at: its place) of the window of ``w`` tokens that agrees best.
 
-    Item tokens ``first`` to ``last`` stand opposite the document's, ``shift`` tokens further on.
+    ``mine`` and ``theirs``: the tokens of document and item that stand opposite each other.
     """
-    same = F.transform(
-        F.sequence(first, last),
-        lambda i: F.when(F.get("h", i + F.col("shift")) == F.get("ih", i), 1).otherwise(0),
-    )
+    same = F.zip_with("mine", "theirs", lambda a, b: F.when(a == b, 1).otherwise(0))
 
     def slide(same):
         def step(state, i):
@@ -100,24 +91,29 @@ def leaks(
     )
     hits = (
         _seeds(texts.select("version", token_hashes("_t").alias("h")), ["version"])
-        .join(_if_small(index), "seed")
+        .join(if_small(index), "seed")
         .select("version", "item", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
     hits = checkpoint(hits)
-    found = texts.join(_if_small(hits.select("version").distinct()), "version").select(
+    found = texts.join(if_small(hits.select("version").distinct()), "version").select(
         "doc_id", "version", token_hashes("_t").alias("h")
     )
-    found = found.distinct().join(_if_small(hits), "version").join(_if_small(items), "item")
-    found = found.withColumn("w", F.least(F.lit(WINDOW), F.size("ih")))
+    found = found.distinct().join(if_small(hits), "version").join(if_small(items), "item")
     first = F.greatest(F.lit(0), -F.col("shift"))
-    last = F.least(F.size("ih"), F.size("h") - F.col("shift")) - 1
-    found = found.filter(last - first + 1 >= F.col("w"))
+    n = F.least(F.size("ih"), F.size("h") - F.col("shift")) - first
+    # From here on a row holds what stands opposite the item, never the whole document.
+    found = found.select(
+        "doc_id", "version", "item_id", "shift", first.alias("first"),
+        F.size("ih").alias("n_item"), F.least(F.lit(WINDOW), F.size("ih")).alias("w"),
+        F.slice("h", first + F.col("shift") + 1, F.greatest(n, F.lit(0))).alias("mine"),
+        F.slice("ih", first + 1, F.greatest(n, F.lit(0))).alias("theirs"),
+    ).filter(F.size("mine") >= F.col("w"))
     # A one-row explode, so that the filter reads the window instead of computing it again.
-    found = found.select("*", F.explode(F.array(_best_window(first, last))).alias("best"))
-    allowed = F.when(F.size("ih") >= WINDOW, ALLOWED).otherwise(0)
+    found = found.select("*", F.explode(F.array(_best_window())).alias("best"))
+    allowed = F.when(F.col("n_item") >= WINDOW, ALLOWED).otherwise(0)
     found = found.filter(F.col("best.best") >= F.col("w") - allowed)
-    start = first + F.col("best.at")
+    start = F.col("first") + F.col("best.at")
     found = found.select(
         "doc_id", "version", "item_id",
         F.struct(
@@ -137,5 +133,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no window of the benchmark."""
     gone = checkpoint(leaks(docs, benchmark).select("version").distinct())
     clean = docs.withColumn("_version", F.xxhash64("text"))
-    gone = _if_small(gone.select(F.col("version").alias("_gone")))
+    gone = if_small(gone.select(F.col("version").alias("_gone")))
     return clean.join(gone, F.col("_version") == F.col("_gone"), "left_anti").drop("_version")
