@@ -20,6 +20,15 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Rows up to which a table of a few numbers a row is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it was counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
