@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """The rows of ``docs`` with size, source_size, target and taken; columns of these names go."""
     added = ("size", "source_size", "target", "taken")
     docs = docs.select(*[c for c in docs.columns if c not in added])
-    place = F.struct("doc_id", "source", F.xxhash64("text").alias("_tie"))
+    place = F.struct("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("_tie"))
     sized = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
@@ -142,5 +142,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     found = _mixed(sized, weights, share, most).groupBy("doc_id", "source", "_tie").agg(
         *[F.max(c).alias(c) for c in added[:3]], F.floor(F.avg("taken")).alias("taken")
     )
-    found = found.select(place.alias("_place"), *added)
+    found = found.select(F.struct("doc_id", "source", "_tie").alias("_place"), *added)
     return docs.withColumn("_place", place).join(found, "_place").drop("_place")
