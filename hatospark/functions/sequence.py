@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
+BLOCK_BITS, BLOCKS_BITS = 20, 21
+_BLOCKS, _FAR = "_blocks", "_far"
 _BLOCK, _VALUE, _MARK, _WITHIN, _CARRY = "_block", "_value", "_mark", "_within", "_carry"
 
 
@@ -57,16 +58,27 @@ def previous_value(
 def total_before(
     df: DataFrame, seq: str, value: Column, out: str, keys: tuple = (), bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the earlier rows (of the same key)."""
+    """Add ``out``: the sum of ``value`` over the earlier rows (of the same key).
+
+    Sequence numbers may lie as far apart as 64 bits allow: blocks are summed in blocks in
+    turn, so no window holds more rows than there are numbers in a block of either kind.
+    """
     rows = df.withColumns({_BLOCK: F.shiftright(F.col(seq), bits), _VALUE: value})
     before = (Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, _BLOCK).agg(F.sum(_VALUE).alias(_MARK))
-    carry = sums.select(
+    sums = sums.withColumn(_BLOCKS, F.shiftright(_BLOCK, BLOCKS_BITS))
+    far = sums.groupBy(*keys, _BLOCKS).agg(F.sum(_MARK).alias(_MARK)).select(
         *keys,
-        _BLOCK,
+        _BLOCKS,
         F.sum(_MARK)
-        .over(Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(*before))
-        .alias(_CARRY),
+        .over(Window.partitionBy(*keys).orderBy(_BLOCKS).rowsBetween(*before))
+        .alias(_FAR),
+    )
+    near = Window.partitionBy(*keys, _BLOCKS).orderBy(_BLOCK).rowsBetween(*before)
+    sums = sums.withColumn(_CARRY, F.sum(_MARK).over(near))
+    none = F.lit(0)
+    carry = sums.join(far, [*keys, _BLOCKS], "left").select(
+        *keys, _BLOCK, (F.coalesce(_CARRY, none) + F.coalesce(_FAR, none)).alias(_CARRY)
     )
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(seq).rowsBetween(*before)
     rows = rows.withColumn(_WITHIN, F.sum(_VALUE).over(inside))

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import checkpoint
 from ..functions.sequence import next_value
 
 AUDIT_FIELDS = (
@@ -122,11 +123,21 @@ def signed_totals(movimientos: DataFrame) -> DataFrame:
     return movimientos.groupBy("id_insumo").agg(F.sum(F.expr(sign)).alias("_delta"))
 
 
-def apply_totals(insumo: DataFrame, totals: DataFrame) -> DataFrame:
+#: Reason of a refused change of a stored amount.
+OUT_OF_RANGE = "importe fuera de rango"
+
+
+def _new_stock(insumo: DataFrame, totals: DataFrame) -> DataFrame:
+    """``_nuevo`` is NULL where the balance does not fit its column."""
     stock = F.col("stock_actual") + F.coalesce(F.col("_delta"), F.lit(0))
+    return insumo.join(totals, "id_insumo", "left").withColumn("_nuevo", stock.try_cast("decimal(10,2)"))
+
+
+def apply_totals(insumo: DataFrame, totals: DataFrame) -> DataFrame:
+    """Supplies with their new balance; one that would leave its range keeps the old one."""
     return (
-        insumo.join(totals, "id_insumo", "left")
-        .withColumn("stock_actual", stock.cast("decimal(10,2)"))
+        _new_stock(insumo, totals)
+        .withColumn("stock_actual", F.coalesce("_nuevo", F.col("stock_actual").cast("decimal(10,2)")))
         .select(insumo.columns)
     )
 
@@ -135,14 +146,36 @@ def saldo_insumos(insumo: DataFrame, movimientos: DataFrame) -> DataFrame:
     return apply_totals(insumo, signed_totals(movimientos))
 
 
+def saldos_rechazados(insumo: DataFrame, movimientos: DataFrame) -> DataFrame:
+    """The supplies whose movements of the batch are refused, with the reason."""
+    refused = _new_stock(insumo, signed_totals(movimientos)).filter(
+        "_nuevo IS NULL AND _delta IS NOT NULL AND stock_actual IS NOT NULL"
+    )
+    return refused.select("id_insumo", F.lit(OUT_OF_RANGE).alias("motivo"))
+
+
+def asientos_rechazados(movimientos: DataFrame) -> DataFrame:
+    """Priced purchases and sales whose amount does not fit the ledger, with the reason."""
+    posted = (
+        "precio_unitario > 0 AND (tipo_movimiento = 'Compra' OR "
+        "tipo_movimiento = 'Venta' AND destino_venta = 'Venta')"
+    )
+    refused = movimientos.filter(posted).filter(f"{_AMOUNT} IS NULL AND cantidad IS NOT NULL")
+    return refused.select("id_mov_insumo", F.lit(OUT_OF_RANGE).alias("motivo"))
+
+
+_AMOUNT = "try_cast(cantidad * precio_unitario AS DECIMAL(12,2))"
+
+
 def _ledger(rows: DataFrame, insumo: DataFrame, kind: str, verb: str, text: str) -> DataFrame:
     names = insumo.select("id_insumo", F.col("nombre").alias("_nombre"))
-    return rows.join(names, "id_insumo", "left").selectExpr(
+    fits = rows.filter(f"{_AMOUNT} IS NOT NULL OR cantidad IS NULL")
+    return fits.join(names, "id_insumo", "left").selectExpr(
         f"'{kind}' AS categoria",
         "fecha_movimiento AS fecha_transaccion",
         f"concat('{verb}: ', coalesce(_nombre, 'Insumo Desconocido')) AS concepto",
         f"{text} AS descripcion",
-        "CAST(cantidad * precio_unitario AS DECIMAL(12,2)) AS monto",
+        f"{_AMOUNT} AS monto",
         "'ejecutado' AS estado",
         f"'{verb} Insumo' AS tipo_origen",
         "id_mov_insumo",
@@ -169,6 +202,23 @@ def contabilizar_ventas(movimientos: DataFrame, insumo: DataFrame) -> DataFrame:
     return _ledger(sold, insumo, "ingreso", "Venta", text)
 
 
+def registrar_movimientos(insumo: DataFrame, movimientos: DataFrame) -> dict[str, DataFrame]:
+    """All that a batch of stock movements changes, from one read of the batch."""
+    batch = checkpoint(movimientos)
+    reasons = asientos_rechazados(batch).select(
+        F.lit("asiento").alias("destino"), F.col("id_mov_insumo").alias("id"), "motivo"
+    )
+    return {
+        "tbl_insumo": saldo_insumos(insumo, batch),
+        "tbl_transaccion_financiera": contabilizar_compras(batch, insumo).unionByName(
+            contabilizar_ventas(batch, insumo)
+        ),
+        "rechazadas": reasons.union(
+            saldos_rechazados(insumo, batch).select(F.lit("saldo"), "id_insumo", "motivo")
+        ),
+    }
+
+
 # -- alerts ----------------------------------------------------------------------------
 
 
@@ -302,7 +352,7 @@ def sincronizar_ciclos(
 ) -> dict[str, DataFrame]:
     """Cow state and completed alerts after cycles changed phase.
 
-    Where several cycles of a cow changed at once, the highest cycle decides.
+    Where several cycles of a cow changed at once, the highest of those that set a state decides.
     """
     old = antes.select("id_ciclo", F.col("estado_ciclo").alias("_antes"))
     changed = (
@@ -310,8 +360,12 @@ def sincronizar_ciclos(
         .join(old, "id_ciclo")
         .filter("_antes <> estado_ciclo")
     )
-    states = changed.groupBy("id_animal").agg(
-        F.max_by(cow_state(F.col("estado_ciclo")), "id_ciclo").alias("_vaca")
+    # Phases that set no state do not hide the state another cycle set.
+    states = (
+        changed.select("id_animal", "id_ciclo", cow_state(F.col("estado_ciclo")).alias("_vaca"))
+        .filter("_vaca IS NOT NULL")
+        .groupBy("id_animal")
+        .agg(F.max_by("_vaca", "id_ciclo").alias("_vaca"))
     )
     done = changed.select(
         "id_ciclo", completed_alert(F.col("_antes"), F.col("estado_ciclo")).alias("_tipo")

@@ -32,6 +32,12 @@ def _first_reason(rules: dict[str, str]) -> Column:
     return F.expr(f"CASE {whens} END")
 
 
+def too_long(table: str, *columns: str) -> str:
+    """Whether a text of a request is longer than its declared column."""
+    sizes = {c.name: c.size for c in TABLES[table].columns}
+    return " OR ".join(f"char_length({c}) > {sizes[c]}" for c in columns if sizes[c])
+
+
 def mark_missing(df: DataFrame, column: str, parent: DataFrame, key: str, flag: str) -> DataFrame:
     """Add ``flag``: the column holds a value that is no key of the parent."""
     known = parent.select(F.col(key).alias(column), F.lit(True).alias("_known"))
@@ -161,6 +167,7 @@ def alta_animales(pedidos: DataFrame, tablas, as_of: str, run_ts: str) -> dict[s
         ("id_procedencia", "tbl_procedencia"),
         ("id_madre", "tbl_animal"),
         ("id_padre", "tbl_animal"),
+        ("id_usuario", "tbl_usuario"),
     ):
         df = mark_missing(df, column, tablas[table], TABLES[table].key, f"_sin_{column}")
     held = animal.select(loose("arete").alias("_arete")).distinct().withColumn("_con_arete", F.lit(True))
@@ -177,6 +184,12 @@ def alta_animales(pedidos: DataFrame, tablas, as_of: str, run_ts: str) -> dict[s
         "manga inexistente": "_sin_id_manga",
         "procedencia inexistente": "_sin_id_procedencia",
         "padre o madre inexistente": "tipo = 'Ternero' AND (_sin_id_madre OR _sin_id_padre)",
+        "usuario inexistente": "_sin_id_usuario",
+        "texto demasiado largo": too_long("tbl_animal", "arete", "trazabilidad"),
+        "peso fuera de rango": (
+            "peso IS NOT NULL AND (try_cast(peso AS DECIMAL(7,2)) IS NULL "
+            "OR tipo = 'Ternero' AND try_cast(peso AS DECIMAL(6,2)) IS NULL)"
+        ),
         "arete duplicado": "_con_arete",
         "trazabilidad duplicada": "_con_codigo",
     }
@@ -230,8 +243,10 @@ def promover_terneros(pedidos: DataFrame, tablas, as_of: str, run_ts: str) -> di
             "(nuevo_tipo = 'Vaca' AND sexo <> 'F') OR (nuevo_tipo = 'Toro' AND sexo <> 'M')"
         ),
         "propósito inválido": f"nuevo_tipo <> 'Vaca' AND proposito NOT IN {_words(D.TIPO_USO)}",
+        "usuario inexistente": "_sin_usuario",
     }
-    checked = pedidos.join(known, "id_animal", "left").withColumn("motivo", _first_reason(rules))
+    checked = mark_missing(pedidos, "id_usuario", tablas["tbl_usuario"], "id_usuario", "_sin_usuario")
+    checked = checked.join(known, "id_animal", "left").withColumn("motivo", _first_reason(rules))
     accepted, rejected = _split(checked.select(*pedidos.columns, "motivo"))
     # Spread by ``seq``: the join before left all requests for an animal in one task.
     spread = accepted.select("id_animal", "nuevo_tipo", "seq").repartition("seq")
@@ -290,6 +305,7 @@ def crear_alertas(
         "prioridad inválida": f"prioridad IS NULL OR prioridad NOT IN {_words(D.PRIORIDAD)}",
         "animal inexistente": "_sin_animal",
         "usuario inexistente": "_sin_usuario",
+        "texto demasiado largo": too_long("tbl_alerta", "tipo"),
     }
     checked = mark_missing(pedidos, "id_animal", animal, "id_animal", "_sin_animal")
     checked = mark_missing(checked, "id_usuario", usuario, "id_usuario", "_sin_usuario")
@@ -471,15 +487,21 @@ def sanidad_individual(pedidos: DataFrame, tablas, user: str, as_of: str, run_ts
         "lista de animales inválida": "animales_json IS NOT NULL AND _animales IS NULL",
         "animal repetido": "size(array_distinct(_animales)) < size(_animales)",
         "animal inexistente": "_ajenos",
+        "cuartos inválidos": (
+            "categoria = 'Mastitis' AND mastitis_json IS NOT NULL "
+            "AND (_cuartos IS NULL OR exists(_cuartos, c -> c IS NULL OR c.id_animal IS NULL))"
+        ),
         "cuarto inválido": f"exists(_cuartos, c -> {quarters})",
     }
     checked = df.join(strangers, "seq", "left").withColumn("motivo", _first_reason(rules))
     accepted, rejected = _split(checked)
-    numbered = assign_ids(
-        accepted, "seq", "id_registro_san", tablas["tbl_registro_sanitario"], "id_registro_san"
-    )
+    # Only narrow rows are sorted for numbering; the lists join them afterwards.
     load = F.expr("coalesce(size(_animales), 0) * coalesce(size(_fechas), 0)").cast("bigint")
-    numbered = total_before(numbered, "seq", load, "_antes")
+    narrow = total_before(accepted.select("seq", load.alias("_n")), "seq", F.col("_n"), "_antes")
+    narrow = assign_ids(
+        narrow.drop("_n"), "seq", "id_registro_san", tablas["tbl_registro_sanitario"], "id_registro_san"
+    )
+    numbered = accepted.join(narrow, "seq")
     treated = numbered.selectExpr(
         "id_registro_san",
         "categoria",
@@ -546,7 +568,7 @@ def _income(rows: DataFrame, day: str, concept: str, text: str, amount: str, ori
 
 
 def ingreso_venta_animal(
-    pedidos: DataFrame, baja: DataFrame, animal: DataFrame, transaccion: DataFrame
+    pedidos: DataFrame, baja: DataFrame, animal: DataFrame, transaccion: DataFrame, usuario: DataFrame
 ) -> dict[str, DataFrame]:
     """Income of sold animals: a ledger entry and its detail share one key."""
     exits = baja.select("id_baja", "id_animal", "fecha_baja", "comprador").join(
@@ -556,8 +578,11 @@ def ingreso_venta_animal(
         "baja inexistente": "arete IS NULL",
         "precio inválido": "precio IS NULL OR precio < 0",
         "comisión ausente": "comision_pct IS NULL",
+        "usuario inexistente": "_sin_usuario",
+        "importe fuera de rango": "try_cast(precio AS DECIMAL(12,2)) IS NULL",
     }
-    checked = pedidos.join(exits, "id_baja", "left").withColumn("motivo", _first_reason(rules))
+    checked = mark_missing(pedidos, "id_usuario", usuario, "id_usuario", "_sin_usuario")
+    checked = checked.join(exits, "id_baja", "left").withColumn("motivo", _first_reason(rules))
     accepted, rejected = _split(checked)
     numbered = assign_ids(accepted, "seq", "id_transaccion", transaccion, "id_transaccion")
     detail = numbered.selectExpr("id_transaccion", "id_baja", "precio AS precio_acordado", "comision_pct", "notas")
@@ -611,18 +636,29 @@ def period_totals(periods: DataFrame, daily: DataFrame) -> DataFrame:
     return pieces.join(levels, ["nivel", "desde"]).groupBy("seq").agg(F.sum("litros").alias("litros"))
 
 
-def liquidar_leche(pedidos: DataFrame, leche: DataFrame, transaccion: DataFrame) -> dict[str, DataFrame]:
-    """Settle the milk of a period: net income entry and settlement detail."""
+def liquidar_leche(
+    pedidos: DataFrame, leche: DataFrame, transaccion: DataFrame, usuario: DataFrame
+) -> dict[str, DataFrame]:
+    """Settle the milk of a period: net income entry and settlement detail.
+
+    Litres and amounts that do not fit their columns refuse their own request only.
+    """
     daily = leche.groupBy(F.col("fecha_ordeno").alias("dia")).agg(F.sum("total_litros").alias("litros"))
     df = (
-        pedidos.join(period_totals(pedidos, daily), "seq", "left")
-        .withColumn("total_litros", F.expr("CAST(coalesce(litros, 0) AS DECIMAL(10,2))"))
-        .withColumn("_neto", F.expr("CAST(total_litros * precio_litro - descuentos AS DECIMAL(12,2))"))
+        mark_missing(pedidos, "id_usuario", usuario, "id_usuario", "_sin_usuario")
+        .join(period_totals(pedidos, daily), "seq", "left")
+        .withColumn("total_litros", F.expr("try_cast(coalesce(litros, 0) AS DECIMAL(10,2))"))
+        .withColumn("_neto", F.expr("try_cast(total_litros * precio_litro - descuentos AS DECIMAL(12,2))"))
     )
     rules = {
+        "litros fuera de rango": "total_litros IS NULL",
         "No hay registros de producción en el período indicado": "total_litros = 0",
-        "precio o descuentos ausentes": "_neto IS NULL",
+        "precio o descuentos ausentes": "precio_litro IS NULL OR descuentos IS NULL",
+        "importe fuera de rango": (
+            "_neto IS NULL OR try_cast(total_litros * precio_litro AS DECIMAL(12,2)) IS NULL"
+        ),
         "ingreso neto negativo": "_neto < 0",
+        "usuario inexistente": "_sin_usuario",
     }
     accepted, rejected = _split(df.withColumn("motivo", _first_reason(rules)))
     numbered = assign_ids(accepted, "seq", "id_transaccion", transaccion, "id_transaccion")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import loose
+from ..functions.checkpoints import checkpoint
 from ..model.columns import AS_OF, CASCADE, RESTRICT, RUN_TS, Table
 from ..model.columns import Column as ColumnRule
 from ..model.tables import TABLES, children_of
@@ -44,9 +45,9 @@ def fill_defaults(df: DataFrame, table: Table, as_of: str, run_ts: str) -> DataF
 
 
 def with_generated(df: DataFrame, table: Table) -> DataFrame:
-    """Compute the stored derived columns, rounded to their declared scale."""
+    """Compute the stored derived columns, rounded to their declared scale; NULL beyond their range."""
     return df.withColumns(
-        {name: F.expr(e).cast(type_) for name, (e, type_) in table.generated.items()}
+        {name: F.expr(e).try_cast(type_) for name, (e, type_) in table.generated.items()}
     )
 
 
@@ -287,18 +288,37 @@ def rename_keys(source: Source, table: str, renames: DataFrame) -> dict[str, Dat
     """Replace keys (``old`` -> ``new``) of ``table`` and of the references to them.
 
     A key referenced through a column that does not follow updates is kept and
-    reported under ``bloqueados``.
+    reported under ``bloqueados``, and so is one whose new key would not be unique: asked for
+    twice, or held by a row that keeps it. Keys can be swapped; a chain of renames
+    of which one link is blocked is blocked down to its start.
     """
     key = TABLES[table].key
+    asked, renames = renames.select("old").distinct(), renames.filter("old <> new").distinct()
+    twice = _union(
+        [
+            renames.groupBy(c).count().filter("count > 1").select(F.col(c).alias("k"))
+            .join(renames, F.col("k") == F.col(c)).select("old")
+            for c in ("old", "new")
+        ]
+    ).distinct()
+    keys = source(table).select(F.col(key).alias("new"))
     held = [
         source(child.name).select(F.col(c.name).alias("old")).filter("old IS NOT NULL").distinct()
         for child, c in children_of(table)
         if not c.update_cascades
     ]
-    blocked = renames.select("old").limit(0)
+    blocked = twice
     if held:
-        blocked = renames.select("old").join(_union(held), "old", "left_semi")
-        renames = renames.join(blocked, "old", "left_anti")
+        blocked = blocked.union(asked.join(_union(held), "old", "left_semi")).distinct()
+    blocked = checkpoint(blocked)
+    while True:  # each round follows chains of renames one link further; without chains there is one
+        moving = renames.join(blocked, "old", "left_anti")
+        kept = keys.join(moving.select(F.col("old").alias("new")), "new", "left_anti")
+        more = checkpoint(moving.join(kept, "new", "left_semi").select("old"))
+        if more.isEmpty():
+            break
+        blocked = checkpoint(blocked.union(more))
+    renames = moving
     out = {"bloqueados": blocked.select(F.col("old").alias(key))}
     columns: dict[str, list[str]] = {table: [key]}
     for child, c in children_of(table):

@@ -132,7 +132,7 @@ def produccion_reciente(
             "litros_tarde",
             "total_litros",
         )
-        .orderBy(F.desc("fecha_ordeno"))
+        .orderBy(F.desc("fecha_ordeno"), "id_animal")
     )
 
 
@@ -154,7 +154,7 @@ def alertas_pendientes(alerta: DataFrame, animal: DataFrame, usuario: DataFrame)
             "id_usuario_atiende",
             "left",
         )
-        .orderBy(rank, "fecha_programada")
+        .orderBy(rank, "fecha_programada", "id_alerta")
         .select(
             "id_alerta",
             "modulo",
@@ -197,7 +197,7 @@ def mortalidad(
             "observacion",
             "registrado_por",
         )
-        .orderBy(F.desc("fecha_muerte"))
+        .orderBy(F.desc("fecha_muerte"), "id_mortalidad")
     )
 
 
@@ -213,7 +213,7 @@ def stock_bajo(insumo: DataFrame) -> DataFrame:
             "stock_minimo",
             F.round(F.col("stock_actual") - F.col("stock_minimo"), 2).cast("decimal(11,2)").alias("diferencia"),
         )
-        .orderBy("diferencia")
+        .orderBy("diferencia", "id_insumo")
     )
 
 
@@ -237,7 +237,7 @@ def auditoria_alertas(auditoria: DataFrame, animal: DataFrame) -> DataFrame:
             "usuario_auditor",
             "arete_animal",
         )
-        .orderBy(F.desc("fecha_auditoria"))
+        .orderBy(F.desc("fecha_auditoria"), "id_auditoria")
     )
 
 
@@ -247,7 +247,7 @@ def resumen_financiero_mensual(transaccion: DataFrame) -> DataFrame:
     expense = F.when(F.col("categoria") == "gasto", F.col("monto")).otherwise(0)
 
     def total(value):
-        return F.sum(value).cast("decimal(18,2)")
+        return F.sum(value.cast("decimal(36,2)")).cast("decimal(38,2)")
 
     return (
         transaccion.groupBy(
@@ -357,7 +357,7 @@ def proximos_eventos(alerta: DataFrame, animal: DataFrame, as_of: str) -> DataFr
             "estado_alerta",
             F.datediff("fecha_programada", _date(as_of)).cast("bigint").alias("dias_restantes"),
         )
-        .orderBy("fecha_programada")
+        .orderBy("fecha_programada", "id_alerta")
     )
 
 
@@ -378,5 +378,5 @@ def historial_reproductivo(ciclo: DataFrame, animal: DataFrame) -> DataFrame:
             "fecha_parto_real",
             "resultado_parto",
         )
-        .orderBy(F.desc("fecha_inicio"))
+        .orderBy(F.desc("fecha_inicio"), "id_ciclo")
     )

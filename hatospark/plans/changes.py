@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import new_folder
+from ..functions.outputs import write_outputs
 from ..operators import changes as C
+from ..operators import reports as R
 from .settings import AUDITOR, RUN_TS
 
 HISTORIES = {"vaca": "estado_ordeno", "toro": "tipo_uso", "ternero": "estado_lactancia"}
@@ -51,6 +54,17 @@ _AUDIT = (
     "estado_nuevo, accion_auditoria, usuario_auditor"
 )
 _MOV = "tbl_movimiento_insumo"
+_LARGE = "fx_movimiento_grande"
+
+
+def _named_parties(rows):
+    return rows.selectExpr(
+        "*",
+        "if(id_mov_insumo % 2 = 0, concat('Casa ', id_mov_insumo % 9), NULL) AS proveedor",
+        "if(id_mov_insumo % 3 = 0, concat('Finca ', id_mov_insumo % 8), NULL) AS cliente",
+        "if(id_mov_insumo % 5 = 0, concat('f', id_mov_insumo, '.pdf'), NULL) AS factura_url",
+        "CAST(id_mov_insumo % 10 AS INT) AS id_usuario",
+    )
 
 
 def _new_alerts(t):
@@ -77,6 +91,12 @@ def _health(t):
     )
 
 
+def _registered(t):
+    """The tables after a batch of movements, as written by the job."""
+    out = C.registrar_movimientos(t["tbl_insumo"], _named_parties(t[_LARGE]))
+    return write_outputs(out, new_folder(t.spark, "movimientos"))
+
+
 def _cycles(t):
     return C.sincronizar_ciclos(
         t["tbl_ciclo_reproductivo"],
@@ -137,6 +157,23 @@ QUERIES = {
     ),
     "contabilizar_compras": lambda t: C.contabilizar_compras(t[_MOV], t["tbl_insumo"]),
     "contabilizar_ventas": lambda t: C.contabilizar_ventas(t[_MOV], t["tbl_insumo"]),
+    "saldo_insumos__con_rechazos": lambda t: C.saldo_insumos(t["tbl_insumo"], t[_LARGE]).select(
+        "id_insumo", "stock_actual"
+    ),
+    "saldo_insumos__rechazadas": lambda t: C.saldos_rechazados(t["tbl_insumo"], t[_LARGE]),
+    "contabilizar__con_rechazos": lambda t: C.contabilizar_compras(_named_parties(t[_LARGE]), t["tbl_insumo"])
+    .unionByName(C.contabilizar_ventas(_named_parties(t[_LARGE]), t["tbl_insumo"]))
+    .select("id_mov_insumo", "categoria", "descripcion", "monto", "id_usuario"),
+    "contabilizar__rechazadas": lambda t: C.asientos_rechazados(t[_LARGE]),
+    "registrar_movimientos__stock_bajo": lambda t: R.stock_bajo(t.once(_registered)["tbl_insumo"]),
+    "registrar_movimientos__resumen": lambda t: R.resumen_financiero_mensual(
+        t["tbl_transaccion_financiera"]
+        .select("fecha_transaccion", "categoria", "monto")
+        .unionByName(
+            t.once(_registered)["tbl_transaccion_financiera"].select("fecha_transaccion", "categoria", "monto")
+        )
+    ),
+    "registrar_movimientos__rechazadas": lambda t: t.once(_registered)["rechazadas"],
 }
 
 
@@ -162,12 +199,13 @@ _CLOSED = """
             FROM fx_programacion_despues n JOIN tbl_programacion_sanitaria o
               ON o.id_programacion = n.id_programacion
             WHERE o.estado <> 'Aplicado' AND n.estado = 'Aplicado'),
+        tratado AS (
+            SELECT DISTINCT r.id_animal, CAST(d.dia AS DATE) AS dia
+            FROM dosis d JOIN tbl_registro_sanitario_animal r ON r.id_registro_san = d.id_registro_san),
         cierra AS (
-            SELECT a.id_alerta FROM fx_alerta_sanidad a
-            WHERE a.estado = 'Pendiente' AND EXISTS (
-                SELECT 1 FROM tbl_registro_sanitario_animal r JOIN dosis d
-                  ON d.id_registro_san = r.id_registro_san
-                WHERE r.id_animal = a.id_animal AND d.dia = a.fecha_programada))
+            SELECT a.id_alerta FROM fx_alerta_sanidad a JOIN tratado x
+              ON x.id_animal = a.id_animal AND x.dia = CAST(a.fecha_programada AS DATE)
+            WHERE a.estado = 'Pendiente' AND a.modulo = 'Sanidad')
 """
 _PHASES = """
         WITH cambio AS (
@@ -176,6 +214,24 @@ _PHASES = """
             WHERE n.estado_ciclo <> o.estado_ciclo)
 """
 
+_BALANCE = """
+        WITH neto AS (
+            SELECT id_insumo, sum(CASE WHEN tipo_movimiento IN ('Compra', 'Producción') THEN cantidad
+                                       WHEN tipo_movimiento <> 'Ajuste' THEN -cantidad ELSE 0 END) AS delta
+            FROM fx_movimiento_grande GROUP BY id_insumo),
+        saldo AS (
+            SELECT i.id_insumo, i.stock_actual, i.stock_actual + coalesce(n.delta, 0) AS nuevo,
+                   abs(i.stock_actual + coalesce(n.delta, 0)) < 100000000 AS cabe
+            FROM tbl_insumo i LEFT JOIN neto n USING (id_insumo))
+"""
+_POSTED = """
+        WITH asiento AS (
+            SELECT *, round(cantidad * precio_unitario, 2) AS importe
+            FROM fx_movimiento_grande
+            WHERE precio_unitario > 0 AND (tipo_movimiento = 'Compra'
+                  OR (tipo_movimiento = 'Venta' AND destino_venta = 'Venta')))
+"""
+
 ORACLE = {
     "aplicar_mortalidad__tbl_animal": _retired("tbl_mortalidad", "Fallecido"),
     "aplicar_mortalidad__tbl_animal_auditoria": """
@@ -229,7 +285,8 @@ ORACLE = {
     + """
         , ultimo AS (
             SELECT id_animal, CASE WHEN ahora LIKE 'Preñez%' THEN 'Preñada' ELSE 'Vacía' END AS vaca
-            FROM cambio c WHERE id_ciclo = (SELECT max(id_ciclo) FROM cambio d WHERE d.id_animal = c.id_animal))
+            FROM cambio c WHERE id_ciclo = (SELECT max(id_ciclo) FROM cambio d WHERE d.id_animal = c.id_animal
+                                            AND d.ahora <> 'Pendiente Palpación 1'))
         SELECT v.id_vaca_detalle, v.id_animal,
                CASE WHEN v.es_vigente AND u.vaca IS NOT NULL THEN u.vaca ELSE v.estado_reproductivo END
                    AS estado_reproductivo, v.es_vigente
@@ -277,4 +334,46 @@ ORACLE = {
         "'Cliente: N/A | Cant: ' || CAST(m.cantidad AS VARCHAR)",
         "AND m.destino_venta = 'Venta'",
     ),
+    "saldo_insumos__con_rechazos": _BALANCE
+    + "SELECT id_insumo, CASE WHEN cabe THEN CAST(nuevo AS DECIMAL(10,2)) ELSE stock_actual END AS stock_actual FROM saldo",
+    "saldo_insumos__rechazadas": _BALANCE
+    + "SELECT id_insumo, 'importe fuera de rango' AS motivo FROM saldo WHERE NOT cabe",
+    "contabilizar__con_rechazos": _POSTED
+    + """SELECT id_mov_insumo, CASE tipo_movimiento WHEN 'Compra' THEN 'gasto' ELSE 'ingreso' END AS categoria,
+               CASE tipo_movimiento WHEN 'Compra' THEN
+                   'Proveedor: ' || CASE WHEN id_mov_insumo % 2 = 0 THEN 'Casa ' || (id_mov_insumo % 9) ELSE 'N/A' END
+                   || ' | Cant: ' || cantidad || ' | Factura: '
+                   || CASE WHEN id_mov_insumo % 5 = 0 THEN 'f' || id_mov_insumo || '.pdf' ELSE 'S/F' END
+               ELSE 'Cliente: ' || CASE WHEN id_mov_insumo % 3 = 0 THEN 'Finca ' || (id_mov_insumo % 8) ELSE 'N/A' END
+                   || ' | Cant: ' || cantidad END AS descripcion,
+               CAST(importe AS DECIMAL(12,2)) AS monto, CAST(id_mov_insumo % 10 AS INT) AS id_usuario
+        FROM asiento WHERE importe < 10000000000""",
+    "registrar_movimientos__stock_bajo": _BALANCE
+    + """, aplicado AS (
+            SELECT i.*, CASE WHEN s.cabe THEN CAST(s.nuevo AS DECIMAL(10,2)) ELSE s.stock_actual END AS hay
+            FROM tbl_insumo i JOIN saldo s USING (id_insumo))
+        SELECT id_insumo, nombre, unidad, hay AS stock_actual, stock_minimo,
+               CAST(hay - stock_minimo AS DECIMAL(11,2)) AS diferencia
+        FROM aplicado WHERE activo AND hay <= stock_minimo""",
+    "registrar_movimientos__resumen": _POSTED
+    + """, todo AS (
+            SELECT fecha_transaccion AS dia, categoria, monto FROM tbl_transaccion_financiera
+            UNION ALL
+            SELECT fecha_movimiento, CASE tipo_movimiento WHEN 'Compra' THEN 'gasto' ELSE 'ingreso' END, importe
+            FROM asiento WHERE importe < 10000000000)
+        SELECT year(dia) AS anio, month(dia) AS mes,
+               CAST(coalesce(sum(monto) FILTER (categoria = 'ingreso'), 0) AS DECIMAL(38,2)) AS total_ingresos,
+               CAST(coalesce(sum(monto) FILTER (categoria = 'gasto'), 0) AS DECIMAL(38,2)) AS total_gastos,
+               CAST(coalesce(sum(monto) FILTER (categoria = 'ingreso'), 0)
+                    - coalesce(sum(monto) FILTER (categoria = 'gasto'), 0) AS DECIMAL(38,2)) AS balance
+        FROM todo GROUP BY 1, 2""",
+    "registrar_movimientos__rechazadas": _BALANCE
+    + ", " + _POSTED.strip().removeprefix("WITH ")
+    + """
+        SELECT 'saldo' AS destino, CAST(id_insumo AS BIGINT) AS id, 'importe fuera de rango' AS motivo
+        FROM saldo WHERE NOT cabe
+        UNION ALL
+        SELECT 'asiento', id_mov_insumo, 'importe fuera de rango' FROM asiento WHERE importe >= 10000000000""",
+    "contabilizar__rechazadas": _POSTED
+    + "SELECT id_mov_insumo, 'importe fuera de rango' AS motivo FROM asiento WHERE importe >= 10000000000",
 }

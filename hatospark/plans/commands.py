@@ -42,12 +42,14 @@ def _masiva(t):
 
 def _ventas(t):
     return P.ingreso_venta_animal(
-        t["fx_venta"], t["tbl_baja_animal"], t["tbl_animal"], t["tbl_transaccion_financiera"]
+        t["fx_venta"], t["tbl_baja_animal"], t["tbl_animal"], t["tbl_transaccion_financiera"], t["tbl_usuario"]
     )
 
 
 def _leche(t):
-    return P.liquidar_leche(t["fx_liquidacion"], t["tbl_produccion_leche"], t["tbl_transaccion_financiera"])
+    return P.liquidar_leche(
+        t["fx_liquidacion"], t["tbl_produccion_leche"], t["tbl_transaccion_financiera"], t["tbl_usuario"]
+    )
 
 
 # Operator -> output -> the columns shown.
@@ -157,6 +159,8 @@ _NEW_ANIMALS = f"""
             WHEN id_raza > 25 THEN 'raza inexistente'
             WHEN id_manga > 25 THEN 'manga inexistente'
             WHEN tipo = 'Ternero' AND id_madre = -5 THEN 'padre o madre inexistente'
+            WHEN id_usuario NOT IN (SELECT id_usuario FROM tbl_usuario) THEN 'usuario inexistente'
+            WHEN tipo = 'Ternero' AND peso >= 10000 THEN 'peso fuera de rango'
             WHEN EXISTS (SELECT 1 FROM tbl_animal a WHERE lower(a.arete) = lower(p.arete)) THEN 'arete duplicado'
             WHEN EXISTS (SELECT 1 FROM tbl_animal a WHERE a.trazabilidad = p.trazabilidad)
                 THEN 'trazabilidad duplicada' END AS motivo
@@ -170,7 +174,8 @@ _PROMOTED = """
     WITH pedido AS (
         SELECT p.*, CASE WHEN a.id_animal IS NULL THEN 'animal inexistente'
             WHEN (nuevo_tipo = 'Vaca' AND a.sexo <> 'F') OR (nuevo_tipo = 'Toro' AND a.sexo <> 'M')
-                THEN 'Sexo del animal incompatible con la promoción solicitada' END AS motivo
+                THEN 'Sexo del animal incompatible con la promoción solicitada'
+            WHEN p.id_usuario NOT IN (SELECT id_usuario FROM tbl_usuario) THEN 'usuario inexistente' END AS motivo
         FROM fx_promocion p LEFT JOIN tbl_animal a ON a.id_animal = p.id_animal),
     sube AS (SELECT * FROM pedido WHERE motivo IS NULL)
 """
@@ -207,6 +212,7 @@ _HEALTH = f"""
             WHEN list_contains(list_transform(fechas, lambda f: f IS NULL), true) THEN 'cronograma inválido'
             WHEN len(list_distinct(animales)) < len(animales) THEN 'animal repetido'
             WHEN list_contains(animales, 99999999) THEN 'animal inexistente'
+            WHEN categoria = 'Mastitis' AND mastitis_json = '{{mal' THEN 'cuartos inválidos'
             WHEN categoria = 'Mastitis' AND mastitis_json LIKE '%Rota%' THEN 'cuarto inválido' END AS motivo
         FROM leido),
     evento AS (
@@ -247,7 +253,8 @@ _HERD_HEALTH = f"""
 _SALES = f"""
     WITH pedido AS (
         SELECT p.*, b.fecha_baja, b.comprador, a.arete, CASE WHEN a.arete IS NULL THEN 'baja inexistente'
-            WHEN p.precio IS NULL THEN 'precio inválido' END AS motivo
+            WHEN p.precio IS NULL THEN 'precio inválido'
+            WHEN p.id_usuario NOT IN (SELECT id_usuario FROM tbl_usuario) THEN 'usuario inexistente' END AS motivo
         FROM fx_venta p LEFT JOIN tbl_baja_animal b ON b.id_baja = p.id_baja
         LEFT JOIN tbl_animal a ON a.id_animal = b.id_animal),
     venta AS (
@@ -261,11 +268,14 @@ _MILK = f"""
         FROM fx_liquidacion p LEFT JOIN tbl_produccion_leche l
           ON l.fecha_ordeno BETWEEN p.fecha_inicio AND p.fecha_fin GROUP BY p.seq),
     neto AS (
-        SELECT p.*, t.total_litros, CAST(t.total_litros * p.precio_litro - p.descuentos AS DECIMAL(12,2)) AS neto
+        SELECT p.*, t.total_litros, CAST(t.total_litros AS DECIMAL(20,2)) * p.precio_litro AS bruto,
+               TRY_CAST(CAST(t.total_litros AS DECIMAL(20,2)) * p.precio_litro - p.descuentos AS DECIMAL(12,2)) AS neto
         FROM fx_liquidacion p JOIN total t ON t.seq = p.seq),
     pedido AS (
         SELECT *, CASE WHEN total_litros = 0 THEN 'No hay registros de producción en el período indicado'
-            WHEN neto < 0 THEN 'ingreso neto negativo' END AS motivo
+            WHEN neto IS NULL OR round(bruto, 2) >= 10000000000 THEN 'importe fuera de rango'
+            WHEN neto < 0 THEN 'ingreso neto negativo'
+            WHEN id_usuario NOT IN (SELECT id_usuario FROM tbl_usuario) THEN 'usuario inexistente' END AS motivo
         FROM neto),
     pago AS (
         SELECT *, (SELECT max(id_transaccion) FROM tbl_transaccion_financiera) + {_NUMBER} AS id_transaccion
@@ -406,7 +416,7 @@ ORACLE = {
            neto AS monto, 'ejecutado' AS estado, 'Ingreso Leche' AS tipo_origen, id_usuario FROM pago""",
     "liquidar_leche__tbl_transaccion_leche": _MILK
     + """SELECT id_transaccion, fecha_inicio, fecha_fin, total_litros, precio_litro, descuentos,
-           CAST(total_litros * precio_litro AS DECIMAL(12,2)) AS ingreso_bruto, neto AS ingreso_neto,
+           CAST(bruto AS DECIMAL(12,2)) AS ingreso_bruto, neto AS ingreso_neto,
            comprador FROM pago""",
     "liquidar_leche__rechazadas": _MILK + _REJECTED,
 }

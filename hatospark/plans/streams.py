@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.checkpoints import new_folder
 from ..operators import changes as C
 from ..sources.derived import BASE, DERIVED
@@ -18,9 +20,12 @@ def _stream(t, base, table):
 
 def _run(t, base, table, reduce):
     folder = new_folder(t.spark, "lotes")
-    query = M.reduce_stream(_stream(t, base, table), reduce, folder, new_folder(t.spark, "avance"))
+    rows = _stream(t, base, table)
+    query = M.reduce_stream(rows, reduce, folder, new_folder(t.spark, "avance"))
     query.awaitTermination()
-    return t.spark.read.parquet(folder)
+    # With no micro-batch there is nothing written; an empty table has the columns of an empty batch.
+    empty = reduce(t.spark.createDataFrame([], rows.schema))
+    return t.spark.read.schema(empty.withColumn("lote", F.lit(0)).schema).parquet(folder)
 
 
 def _with_optional(batch):

@@ -398,7 +398,38 @@ FIXTURES = {
                              CASE WHEN id_ciclo % 4 = 1 THEN 'Vacía' ELSE 'Preñez Confirmada' END
                          WHEN 'Preñez Confirmada' THEN
                              CASE WHEN id_ciclo % 4 = 1 THEN 'Abortado' ELSE 'Parto Exitoso' END
-                         WHEN 'Parto Exitoso' THEN 'Abortado' ELSE estado_ciclo END END AS estado_ciclo
+                         WHEN 'Parto Exitoso' THEN 'Abortado'
+                         WHEN 'Vacía' THEN
+                             CASE WHEN id_ciclo % 3 = 0 THEN 'Pendiente Palpación 1' ELSE estado_ciclo END
+                         ELSE estado_ciclo END END AS estado_ciclo
+        FROM {tbl_ciclo_reproductivo}""",
+    "fx_movimiento_grande": """
+        SELECT id_mov_insumo, id_insumo, tipo_movimiento, destino_venta,
+               CAST(CASE WHEN id_insumo % 20 = 3 THEN cantidad * 900000 ELSE cantidad END AS DECIMAL(18,2)) AS cantidad,
+               CASE WHEN id_insumo % 40 = 3 THEN precio_unitario * 100 ELSE precio_unitario END AS precio_unitario,
+               fecha_movimiento
+        FROM {tbl_movimiento_insumo}""",
+    "fx_alerta_completa": """
+        SELECT id_alerta, modulo, id_animal, tipo, prioridad, fecha_programada, estado, id_usuario_atiende,
+               CASE WHEN id_alerta % 3 = 0 THEN NULL ELSE concat('Nota ', CAST(id_alerta % 50 AS VARCHAR(20))) END
+                   AS descripcion,
+               id_alerta % 2 = 0 AS enviar_correo, id_alerta % 4 = 0 AS correo_enviado,
+               id_alerta % 5 = 1 AS notificacion_vista
+        FROM {tbl_alerta}""",
+    "fx_mortalidad_completa": """
+        SELECT id_mortalidad, id_animal, fecha_muerte, id_causa, id_usuario,
+               CASE WHEN id_mortalidad % 2 = 0 THEN concat('Obs. ', CAST(id_mortalidad AS VARCHAR(20))) END
+                   AS observacion
+        FROM {tbl_mortalidad}""",
+    "fx_ciclo_completo": """
+        SELECT id_ciclo, id_animal, fecha_inicio, tipo_evento, estado_ciclo, fecha_parto_real, resultado_parto,
+               CASE WHEN estado_ciclo <> 'Pendiente Palpación 1' THEN fecha_inicio + 40 END AS fecha_palpacion1,
+               CASE WHEN estado_ciclo = 'Vacía' THEN 'Vacía' WHEN estado_ciclo <> 'Pendiente Palpación 1'
+                    THEN 'Preñada' END AS resultado_palpacion1,
+               CASE WHEN estado_ciclo IN ('Preñez Confirmada', 'Parto Exitoso') THEN fecha_inicio + 90 END
+                   AS fecha_palpacion2,
+               CASE WHEN estado_ciclo IN ('Preñez Confirmada', 'Parto Exitoso') THEN 'Confirmada' END
+                   AS resultado_palpacion2
         FROM {tbl_ciclo_reproductivo}""",
     "fx_ciclo_quedan": "SELECT id_ciclo, id_animal FROM {tbl_ciclo_reproductivo} WHERE id_ciclo % 13 <> 0",
     "fx_programacion_despues": """
@@ -409,7 +440,9 @@ FIXTURES = {
     "fx_alerta_sanidad": """
         SELECT id_animal * 100000000 + year(fecha_programada) * 10000 + month(fecha_programada) * 100
                    + day(fecha_programada) AS id_alerta,
-               'Sanidad' AS modulo, id_animal, 'Próxima dosis' AS tipo, 'Normal' AS prioridad, fecha_programada,
+               CASE WHEN id_animal % 7 = 3 THEN 'General' ELSE 'Sanidad' END AS modulo, id_animal,
+               'Próxima dosis' AS tipo, 'Normal' AS prioridad,
+               fecha_programada + CAST(CASE WHEN id_animal % 5 = 1 THEN 1 ELSE 0 END AS INT) AS fecha_programada,
                CASE WHEN id_animal % 9 = 0 THEN 'Cancelada' ELSE 'Pendiente' END AS estado
         FROM (SELECT DISTINCT a.id_animal, p.fecha_programada
               FROM {tbl_registro_sanitario_animal} a
@@ -438,20 +471,21 @@ FIXTURES = {
                c_custkey % 26 + 1 AS id_manga,
                CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey % 5 + 1 END AS id_procedencia,
                DATE '1998-01-31' + CAST(c_custkey % 90 AS INT) AS fecha_nac,
-               CAST((c_custkey * 7919 % 6000 + 2000) / 100.0 AS DECIMAL(7,2)) AS peso,
+               CAST(CASE WHEN c_custkey % 75 = 8 THEN 12345.67
+                    ELSE (c_custkey * 7919 % 6000 + 2000) / 100.0 END AS DECIMAL(7,2)) AS peso,
                CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Ceba' WHEN 2 THEN 'Trabajo'
                     ELSE 'Levante' END AS proposito,
                CASE WHEN c_custkey % 9 = 2 THEN -5 WHEN c_custkey % 8 = 0 THEN NULL
                     ELSE c_custkey - c_custkey % 3 END AS id_madre,
                CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 1 END AS id_padre,
-               c_custkey % 10 AS id_usuario
+               CASE WHEN c_custkey % 45 = 11 THEN 999999 ELSE c_custkey % 10 END AS id_usuario
         FROM {customer}""",
     "fx_promocion": """
         SELECT c_custkey AS seq,
                CASE WHEN c_custkey % 37 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS id_animal,
                CASE WHEN c_custkey % 4 < 2 THEN 'Vaca' ELSE 'Toro' END AS nuevo_tipo,
                CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'Ceba' END AS proposito,
-               c_custkey % 10 AS id_usuario
+               CASE WHEN c_custkey % 43 = 5 THEN 999999 ELSE c_custkey % 10 END AS id_usuario
         FROM {customer}""",
     "fx_alerta_pedida": """
         SELECT event_id AS seq,
@@ -465,7 +499,8 @@ FIXTURES = {
                CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 10 END AS id_usuario
         FROM {events}""",
     "fx_atencion": """
-        SELECT event_id AS seq, event_id - event_id % 3 AS id_alerta, event_id % 11 AS id_usuario
+        SELECT event_id AS seq, event_id - event_id % 3 AS id_alerta,
+               CASE WHEN event_id % 29 = 3 THEN 999999 ELSE event_id % 11 END AS id_usuario
         FROM {events}""",
     "fx_sanidad": """
         SELECT o_orderkey AS seq,
@@ -488,7 +523,7 @@ FIXTURES = {
                CASE WHEN o_orderkey % 53 = 7 THEN '["1998-07-01","mal"]' WHEN o_orderkey % 4 = 0 THEN NULL
                     WHEN o_orderkey % 4 = 1 THEN '[]'
                     ELSE '["1998-07-01","1998-07-08"]' END AS cronograma_json,
-               CASE WHEN o_orderkey % 7 = 0 THEN NULL
+               CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 23 = 4 THEN '{{mal'
                     ELSE concat('[{{"id_animal":', CAST(o_custkey AS VARCHAR(20)), ',"ad":"Sana","pd":"',
                          CASE WHEN o_orderkey % 31 = 2 THEN 'Rota' ELSE 'Leve' END,
                          '","ai":"Sana","pi":"Moderada"}}]') END AS mastitis_json
@@ -511,7 +546,8 @@ FIXTURES = {
                CASE WHEN c_custkey % 130 = 1 THEN NULL
                     ELSE CAST((c_custkey * 977 % 900000 + 100000) / 100.0 AS DECIMAL(12,2)) END AS precio,
                CAST(c_custkey % 1100 / 100.0 AS DECIMAL(5,2)) AS comision_pct,
-               CAST(NULL AS VARCHAR(20)) AS notas, c_custkey % 10 AS id_usuario
+               CAST(NULL AS VARCHAR(20)) AS notas,
+               CASE WHEN c_custkey % 47 = 3 THEN 999999 ELSE c_custkey % 10 END AS id_usuario
         FROM {customer}""",
     "fx_liquidacion": """
         SELECT c_custkey AS seq,
@@ -520,10 +556,11 @@ FIXTURES = {
                CASE WHEN c_custkey % 50 = 3 THEN DATE '1980-12-31'
                     ELSE DATE '1995-01-01' + CAST(c_custkey * 13 % 2300 + c_custkey * 7 % 700 - 20 AS INT)
                     END AS fecha_fin,
-               CAST(0.4525 AS DECIMAL(8,4)) AS precio_litro,
+               CAST(CASE WHEN c_custkey % 50 = 4 THEN 99999999.0 ELSE 0.4525 END AS DECIMAL(18,4)) AS precio_litro,
                CAST(c_custkey % 40 * 50 AS DECIMAL(12,2)) AS descuentos,
                CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS comprador,
-               CAST(NULL AS VARCHAR(20)) AS notas, c_custkey % 10 AS id_usuario
+               CAST(NULL AS VARCHAR(20)) AS notas,
+               CASE WHEN c_custkey % 41 = 9 THEN 999999 ELSE c_custkey % 10 END AS id_usuario
         FROM {customer}""",
     "fx_orden_palpacion": """
         SELECT id_ciclo AS seq, id_ciclo, id_ciclo % 7 AS id_usuario,

@@ -101,3 +101,71 @@ def test_applied_dose_closes_the_alert_of_another_event_on_the_same_day(rows):
     assert {r.id_alerta for r in got["tbl_alerta"].filter("estado = 'Atendida'").collect()} == {1}
     assert [r.id_alerta for r in got["tbl_auditoria_alerta"].collect()] == [1]
     assert got["tbl_alerta"].count() == 5
+
+
+def test_a_balance_out_of_range_refuses_its_own_supply_only(rows):
+    insumo = rows("id_insumo int, stock_actual decimal(10,2)", [(1, Decimal(1)), (2, Decimal(3)), (3, None)])
+    mov = rows(
+        "id_insumo int, tipo_movimiento string, cantidad decimal(18,2)",
+        [(1, "Compra", Decimal(99_999_999)), (1, "Compra", Decimal(5)), (2, "Compra", Decimal(4)), (3, "Compra", Decimal(1))],
+    )
+    got = {r.id_insumo: r.stock_actual for r in C.saldo_insumos(insumo, mov).collect()}
+    assert got == {1: Decimal(1), 2: Decimal(7), 3: None}
+    assert [tuple(r) for r in C.saldos_rechazados(insumo, mov).collect()] == [(1, C.OUT_OF_RANGE)]
+
+
+def test_an_amount_out_of_range_refuses_its_own_entry_only(rows):
+    insumo = rows("id_insumo int, nombre string, stock_actual decimal(10,2)", [(1, "Sal", Decimal(0))])
+    mov = rows(
+        "id_mov_insumo long, id_insumo int, tipo_movimiento string, destino_venta string, cantidad decimal(18,2), "
+        "precio_unitario decimal(10,2), fecha_movimiento date, proveedor string, cliente string, "
+        "factura_url string, id_usuario int",
+        [
+            (1, 1, "Compra", None, Decimal(10**9), Decimal(100), D(2024, 1, 1), "P", None, None, 1),
+            (2, 1, "Compra", None, Decimal(2), Decimal(3), D(2024, 1, 1), "P", None, "f.pdf", 1),
+            (3, 1, "Venta", "Venta", Decimal(10**9), Decimal(100), D(2024, 1, 1), None, "C", None, 1),
+            (4, 1, "Venta", "Venta", Decimal(1), Decimal(3), D(2024, 1, 1), None, "C", None, 1),
+            (5, 1, "Venta", "Consumo Animal", Decimal(10**9), Decimal(100), D(2024, 1, 1), None, "C", None, 1),
+        ],
+    )
+    out = C.registrar_movimientos(insumo, mov)
+    posted = {r.id_mov_insumo: (r.monto, r.descripcion) for r in out["tbl_transaccion_financiera"].collect()}
+    assert posted == {
+        2: (Decimal(6), "Proveedor: P | Cant: 2.00 | Factura: f.pdf"),
+        4: (Decimal(3), "Cliente: C | Cant: 1.00"),
+    }
+    refused = {(r.destino, r.id) for r in out["rechazadas"].collect()}
+    assert refused == {("asiento", 1), ("asiento", 3), ("saldo", 1)}
+    assert out["tbl_insumo"].first().stock_actual == 0
+
+
+def test_a_phase_without_a_cow_state_does_not_hide_another_cycle(rows):
+    before = rows("id_ciclo long, estado_ciclo string", [(1, "Pendiente Palpación 1"), (2, "Vacía")])
+    after = rows(
+        "id_ciclo long, id_animal int, estado_ciclo string",
+        [(1, 7, "Preñez Provisional"), (2, 7, "Pendiente Palpación 1")],
+    )
+    cow = rows("id_animal int, estado_reproductivo string, es_vigente boolean", [(7, "Vacía", True)])
+    alerts = rows("id_ciclo long, tipo_alerta string, estado_alerta string")
+    out = C.sincronizar_ciclos(before, after, cow, alerts)["tbl_vaca_detalle"].first()
+    assert out.estado_reproductivo == "Preñada"
+
+
+def test_health_alerts_close_for_their_module_animal_and_day(rows):
+    before = rows("id_programacion long, estado string", [(1, "Pendiente"), (2, "Aplicado")])
+    after = rows(
+        "id_programacion long, id_registro_san long, fecha_programada date, estado string",
+        [(1, 10, D(2024, 1, 1), "Aplicado"), (2, 10, D(2024, 1, 2), "Aplicado")],
+    )
+    treated = rows("id_registro_san long, id_animal int", [(10, 1), (10, 2)])
+    fields = "id_alerta long, modulo string, id_animal int, id_origen long, tipo string, descripcion string, prioridad string, fecha_programada date, estado string, fecha_atendida timestamp_ntz"
+    alerts = [
+        (1, "Sanidad", 1, None, "x", None, "Normal", D(2024, 1, 1), "Pendiente", None),
+        (2, "General", 2, None, "x", None, "Normal", D(2024, 1, 1), "Pendiente", None),
+        (3, "Sanidad", 2, None, "x", None, "Normal", D(2024, 1, 2), "Pendiente", None),
+        (4, "Sanidad", 2, None, "x", None, "Normal", D(2024, 1, 1), "Cancelada", None),
+        (5, "Sanidad", 2, None, "x", None, "Normal", D(2024, 1, 1), "Pendiente", None),
+    ]
+    out = C.cerrar_alertas_sanidad(before, after, treated, rows(fields, alerts), "u", "2024-02-01 00:00:00")
+    closed = {r.id_alerta for r in out["tbl_alerta"].collect() if r.estado == "Atendida"}
+    assert closed == {1, 5} == {r.id_alerta for r in out["tbl_auditoria_alerta"].collect()}

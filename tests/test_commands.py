@@ -62,9 +62,52 @@ def test_milk_settlement_refuses_empty_periods_and_negative_net(rows):
         [(1, D(2024, 1, 1), D(2024, 1, 5), Decimal("0.4525"), Decimal("1.00"), None, None, 1),
          (2, D(2024, 1, 6), D(2024, 1, 31), Decimal("1.0000"), Decimal("0.00"), "x", None, 1),
          (3, D(2024, 1, 5), D(2024, 1, 5), Decimal("1.0000"), Decimal("11.00"), "x", None, 1)])
-    got = P.liquidar_leche(asked, leche, rows("id_transaccion long", [(8,)]))
+    got = P.liquidar_leche(asked, leche, rows("id_transaccion long", [(8,)]), rows("id_usuario int", [(1,)]))
     [entry] = got["tbl_transaccion_financiera"].collect()
     assert (entry.id_transaccion, entry.monto) == (9, Decimal("3.53"))
     assert entry.descripcion == "10.00 lts × $0.4525 | Comprador: N/A"
     assert {r.seq: r.motivo for r in got["rechazadas"].collect()} == {
         2: "No hay registros de producción en el período indicado", 3: "ingreso neto negativo"}
+
+
+def test_milk_settlement_refuses_what_does_not_fit_and_settles_the_rest(rows):
+    asked = rows(
+        "seq long, fecha_inicio date, fecha_fin date, precio_litro decimal(18,4), descuentos decimal(12,2), "
+        "comprador string, notas string, id_usuario int",
+        [
+            (1, D(2024, 1, 1), D(2024, 1, 31), Decimal(1), Decimal(0), None, None, 1),
+            (2, D(2024, 2, 1), D(2024, 2, 28), Decimal(2), Decimal(1), None, None, 1),
+            (3, D(2024, 2, 1), D(2024, 2, 28), Decimal(10**9), Decimal(0), None, None, 1),
+            (4, D(2024, 2, 1), D(2024, 2, 28), Decimal(2), Decimal(1), None, None, 99),
+        ],
+    )
+    milk = rows(
+        "fecha_ordeno date, total_litros decimal(12,2)",
+        [(D(2024, 1, 5), Decimal(99_999_999)), (D(2024, 1, 6), Decimal(2)), (D(2024, 2, 2), Decimal(50))],
+    )
+    out = P.liquidar_leche(
+        asked, milk, rows("id_transaccion long", [(4,)]), rows("id_usuario int", [(1,)])
+    )
+    assert [(r.id_transaccion, r.monto) for r in out["tbl_transaccion_financiera"].collect()] == [(5, Decimal(99))]
+    assert {r.seq: r.motivo for r in out["rechazadas"].collect()} == {
+        1: "litros fuera de rango", 3: "importe fuera de rango", 4: "usuario inexistente",
+    }
+
+
+def test_sale_income_checks_the_user(rows):
+    asked = rows(
+        "seq long, id_baja long, precio decimal(14,2), comision_pct decimal(5,2), notas string, id_usuario int",
+        [(1, 1, Decimal(10), Decimal(1), None, 1), (2, 1, Decimal(10), Decimal(1), None, 9),
+         (3, 1, Decimal(10**11), Decimal(1), None, 1), (4, 1, Decimal(5), Decimal(1), None, None)],
+    )
+    out = P.ingreso_venta_animal(
+        asked,
+        rows("id_baja long, id_animal int, fecha_baja date, comprador string", [(1, 1, D(2024, 1, 1), None)]),
+        rows("id_animal int, arete string", [(1, "a")]),
+        rows("id_transaccion long"),
+        rows("id_usuario int", [(1,)]),
+    )
+    assert {r.seq: r.motivo for r in out["rechazadas"].collect()} == {
+        2: "usuario inexistente", 3: "importe fuera de rango",
+    }
+    assert [r.id_transaccion for r in out["tbl_transaccion_animal"].collect()] == [1, 2]

@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from hatospark.functions.checkpoints import shared_folder
 from hatospark.functions.ids import assign_ids
 from hatospark.functions.joins import left_join_many
+from hatospark.functions.outputs import write_outputs
 from hatospark.functions.sequence import next_value, previous_value, total_before
 
 
@@ -47,3 +50,35 @@ def test_left_join_many_spreads_hot_keys_without_losing_or_adding_rows(rows):
     got = left_join_many(left, right, "k", "r", slot_rows=7).select("k", "a", "r").collect()
     want = [(1, "x", i) for i in range(50)] + [(2, "y", 100), (3, "z", None)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_places_of_sparse_sequence_numbers(rows):
+    rng = random.Random(5)
+    seqs = rng.sample(range(2**62), 60) + [0, 1, 2**41, 2**41 + 1, 2**62]
+    got = total_before(rows("s long", [(s,) for s in seqs]), "s", F.lit(1), "place")
+    assert {r.s: r.place for r in got.collect()} == {s: i for i, s in enumerate(sorted(seqs))}
+
+
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+def test_outputs_are_written_once_and_read_back(rows, tmp_path):
+    out = write_outputs({"a": rows("x int", [(1,)]), "b": rows("y string")}, str(tmp_path / "job"))
+    assert out["a"].collect() == [(1,)] and out["b"].columns == ["y"] and out["b"].count() == 0
+    with pytest.raises(Exception, match="already exists"):
+        write_outputs({"a": rows("x int", [(2,)])}, str(tmp_path / "job"))

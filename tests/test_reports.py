@@ -136,3 +136,40 @@ def test_expediente_two_doses_make_two_rows_and_missing_dose_is_null(rows):
         (1, "Otros — Suero", "5.00 ml", D(2024, 3, 1)),
         (2, "Sin diagnóstico — Sin producto", None, None),
     ]
+
+
+def test_ties_are_sorted_by_the_key(rows):
+    day = D(2024, 1, 1)
+    ids = [5, 3, 9, 1, 7]
+    animal = rows("id_animal int, arete string, tipo_animal string, estado_animal string, id_raza int, id_manga_actual int",
+                  [(1, "a", "Vaca", "Activo", 1, 1)])
+    raza = rows("id_raza int, nombre_raza string", [(1, "r")])
+    user = rows("id_usuario int, nombre_completo string", [(1, "u")])
+    cause = rows("id_causa int, causa_principal string, detalle_causa string", [(1, "Otros", None)])
+    deaths = rows("id_mortalidad int, id_animal int, fecha_muerte date, id_causa int, observacion string, id_usuario int",
+                  [(i, 1, day, 1, f"o{i}", 1) for i in ids])
+    got = R.mortalidad(deaths, animal, raza, cause, user).collect()
+    assert [r.id_mortalidad for r in got] == sorted(ids) and got[0].observacion == "o1"
+    audit = rows("id_auditoria int, id_alerta int, modulo string, id_animal int, tipo string, prioridad string, "
+                 "fecha_programada date, estado_anterior string, estado_nuevo string, accion_auditoria string, "
+                 "fecha_auditoria date, usuario_auditor string",
+                 [(i, 1, "m", 1, "t", "p", day, "x", "y", "z", day, "u") for i in ids])
+    assert [r.id_auditoria for r in R.auditoria_alertas(audit, animal).collect()] == sorted(ids)
+    cycles = rows("id_ciclo int, id_animal int, fecha_inicio date, tipo_evento string, estado_ciclo string, "
+                  "fecha_palpacion1 date, resultado_palpacion1 string, fecha_palpacion2 date, "
+                  "resultado_palpacion2 string, fecha_parto_real date, resultado_parto string",
+                  [(i, 1, day, "e", "c", day, "p", None, None, None, None) for i in ids])
+    assert [r.id_ciclo for r in R.historial_reproductivo(cycles, animal).collect()] == sorted(ids)
+    alerts = rows("id_alerta int, id_animal int, tipo_alerta string, fecha_programada date, estado_alerta string",
+                  [(i, 1, "t", day, "Pendiente") for i in ids])
+    assert [r.id_alerta for r in R.proximos_eventos(alerts, animal, "2024-01-01").collect()] == sorted(ids)
+    stock = rows("id_insumo int, nombre string, unidad string, stock_actual decimal(10,2), stock_minimo decimal(10,2), activo boolean",
+                 [(i, "n", "kg", Decimal(1), Decimal(2), True) for i in ids])
+    assert [r.id_insumo for r in R.stock_bajo(stock).collect()] == sorted(ids)
+
+
+def test_a_month_beyond_eighteen_digits(rows):
+    big = rows("fecha_transaccion date, categoria string, monto decimal(38,2)",
+               [(D(2024, 1, 1), "ingreso", Decimal(10**20)), (D(2024, 1, 2), "ingreso", Decimal(10**20)), (D(2024, 1, 2), "gasto", Decimal(1))])
+    got = R.resumen_financiero_mensual(big).first()
+    assert got.total_ingresos == 2 * 10**20 and got.balance == 2 * 10**20 - 1
