@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint, new_folder
 from .components import roots
-from .texts import BLANKS, let
+from .texts import BLANKS, if_small, let
 
 THRESHOLD = 1
 #: Shorter lines are duplicates only if equal: one edit makes another word of them.
@@ -43,14 +43,16 @@ def _segment(i: int, parts: int, length: Column) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
-def segment_keys(text: str, group: list[str], threshold: int, probes: bool) -> Column:
-    """Array of (key, at, size): a line's own segments, or the substrings that it probes with.
+def segment_keys(
+    text: str, length: Column, group: list[str], threshold: int, probes: bool
+) -> list[tuple]:
+    """(key, at, size) of a line's own segments, or of the substrings that it probes with.
 
     For a line D characters shorter and its segment i, only those starts are probed from which the
-    parts to the left and to the right can both still be matched within the threshold.
+    parts to the left and to the right can both still be matched within the threshold. The key is
+    null where the line has no such substring.
     """
-    parts, length = threshold + 1, F.length(text)
-    found = []
+    parts, found = threshold + 1, []
     for shorter in range(threshold + 1 if probes else 1):
         for i in range(parts):
             start, size = _segment(i, parts, length - shorter)
@@ -61,9 +63,8 @@ def segment_keys(text: str, group: list[str], threshold: int, probes: bool) -> C
                 piece = F.substring(F.col(text), at, size)
                 key = F.xxhash64(*group, F.lit(i), length - shorter, piece)
                 fits = (at >= 1) & (at + size - 1 <= length) & (length >= shorter)
-                entry = F.struct(key.alias("key"), at.alias("at"), size.alias("size"))
-                found.append(F.when(fits, entry))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+                found.append((F.when(fits, key), at, size))
+    return found
 
 
 def _shared(x: str, y: str, limit: Column, cut) -> Column:
@@ -158,32 +159,37 @@ def _reaches(x: Column, y: Column, t: int) -> Column:
     return (F.abs(apart) <= t) & (reached.bitwiseAND(F.lit(1)) == 1)
 
 
+def _keyed(rows: DataFrame, group: list[str], threshold: int, probes: bool) -> DataFrame:
+    """(h, n, key): a row for every segment, or every substring to probe with."""
+    keys = [k for k, _, _ in segment_keys("rest", F.col("m"), group, threshold, probes)]
+    return rows.select("h", "n", F.explode(F.array(*keys)).alias("key")).filter("key IS NOT NULL")
+
+
 def _pairs(rows: DataFrame, group: list[str], threshold: int, last: bool):
-    """Candidate pairs (ah, an, bh, bn) of ``rows`` (h, n, rest), and the rows under full keys."""
-    own = rows.select("h", "n", F.explode(segment_keys("rest", group, threshold, False)).alias("k"))
-    own = own.select(F.col("k.key").alias("key"), "h", "n")
-    probe = rows.select(
-        "h", "n", "rest", F.explode(segment_keys("rest", group, threshold, True)).alias("k")
-    ).select("k.*", "h", "n", "rest")
+    """Candidate pairs (ah, an, bh, bn) of ``rows`` (h, n, rest, m: its length), and the rows under full keys."""
+    own, probe = (_keyed(rows, group, threshold, p) for p in (False, True))
     full = None
     if not last:
         full = checkpoint(own.groupBy("key").agg(F.count("*").alias("c")).filter(f"c > {FULL_KEY}"))
         full = None if full.isEmpty() else full.select("key")
-    few = own if full is None else own.join(full, "key", "left_anti")
-    index = few.select("key", F.col("h").alias("bh"), F.col("n").alias("bn"))
+    few = own if full is None else own.join(if_small(full), "key", "left_anti")
     found = (
         probe.select("key", F.col("h").alias("ah"), F.col("n").alias("an"))
-        .join(index, "key")
+        .join(few.select("key", F.col("h").alias("bh"), F.col("n").alias("bn")), "key")
         .filter("an > bn OR (an = bn AND ah > bh)")
         .drop("key")
     )
     if full is None:
         return found, None
     # Lines that share a segment: what is left of each has to match within the threshold.
-    beside = F.concat(
-        F.expr("substring(rest, 1, at - 1)"), F.expr("substring(rest, at + size)")
-    )
-    more = probe.join(full, "key").select("h", "n", beside.alias("rest"), F.col("key").alias("g"))
+    entries = [
+        F.struct(k.alias("key"), at.alias("at"), size.alias("size"))
+        for k, at, size in segment_keys("rest", F.col("m"), group, threshold, True)
+    ]
+    more = rows.select("h", "n", "rest", "m", F.explode(F.array(*entries)).alias("k"))
+    more = more.select("h", "n", "rest", "m", "k.*").join(if_small(full), "key")
+    beside = F.expr("concat(substring(rest, 1, at - 1), substring(rest, at + size))")
+    more = more.select("h", "n", beside.alias("rest"), (F.col("m") - F.col("size")).alias("m"), F.col("key").alias("g"))
     return found, checkpoint(more.distinct())
 
 
@@ -194,7 +200,7 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_
     paired out: the lines under it are joined again on the segments of their rests.
     """
     long = lines.filter(F.col("n") >= max(least, threshold + 1)).select("h", "n", "line")
-    rows, group, found = long.withColumnRenamed("line", "rest"), [], []
+    rows, group, found = long.select("h", "n", F.col("line").alias("rest"), F.col("n").alias("m")), [], []
     for round_ in range(ROUNDS):
         pairs, rows = _pairs(rows, group, threshold, round_ == ROUNDS - 1)
         found.append(pairs)
@@ -204,11 +210,14 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    pairs = pairs.distinct()
-    a = long.selectExpr("h AS ah", "n AS an", "line AS x")
-    b = long.selectExpr("h AS bh", "n AS bn", "line AS y")
-    both = pairs.join(a, ["ah", "an"]).join(b, ["bh", "bn"])
-    near = verified(both, "x", "y", threshold)
+    pairs = checkpoint(pairs.distinct())
+    # Only the lines that met somewhere are fetched.
+    both = F.explode(F.expr("array(struct(ah AS h, an AS n), struct(bh AS h, bn AS n))")).alias("k")
+    met = pairs.select(both).select("k.*").distinct()
+    texts = checkpoint(long.join(if_small(met), ["h", "n"]))
+    a = texts.selectExpr("h AS ah", "n AS an", "line AS x")
+    b = texts.selectExpr("h AS bh", "n AS bn", "line AS y")
+    near = verified(pairs.join(a, ["ah", "an"]).join(b, ["bh", "bn"]), "x", "y", threshold)
     return near.selectExpr("struct(ah AS h, an AS n) AS a", "struct(bh AS h, bn AS n) AS b")
 
 
@@ -249,27 +258,29 @@ def line_classes(
     ).write.parquet(folder)
     lines = docs.sparkSession.read.parquet(folder)
     root = roots(line_links(lines, threshold, least))
-    linked = root.select(F.col("node.h").alias("h"), F.col("node.n").alias("n"), "root")
-    classes = lines.join(linked, ["h", "n"], "left").select(
-        "h", "n", "times", "first", F.coalesce("root", F.struct("h", "n")).alias("root")
+    members = root.union(root.select("root", "root").distinct()).toDF("node", "root")
+    members = members.select("node.*", "root")
+    totals = lines.drop("line").join(members, ["h", "n"]).groupBy("root")
+    totals = totals.agg(F.sum("times").alias("times"), F.min("first").alias("first"))
+    linked = members.join(totals, "root").selectExpr("h", "n", "times AS all_times", "first AS of_all")
+    # A line that is alone needs no row here.
+    classes = lines.drop("line").join(linked, ["h", "n"], "left").filter("times > 1 OR of_all IS NOT NULL")
+    classes = classes.select(
+        "h", "n", F.coalesce("all_times", "times").alias("times"), F.coalesce("of_all", "first").alias("first")
     )
-    totals = classes.groupBy("root").agg(
-        F.sum("times").alias("times"), F.min("first").alias("first")
-    )
-    classes = classes.select("h", "n", "root").join(totals, "root").drop("root")
     here = F.struct("doc_id", "line_no")
-    return (
-        occurrences.drop("line")
-        .join(classes, ["h", "n"])
-        .select(
-            "doc_id",
-            "version",
-            "line_no",
-            F.col("first.doc_id").alias("first_doc_id"),
-            F.col("first.line_no").alias("first_line_no"),
-            "times",
-            ((F.col("times") <= most) | (here == F.col("first"))).alias("kept"),
-        )
+    placed = occurrences.drop("line").join(classes, ["h", "n"], "left")
+    placed = placed.withColumns(
+        {"times": F.coalesce("times", F.lit(1)), "first": F.coalesce("first", here)}
+    )
+    return placed.select(
+        "doc_id",
+        "version",
+        "line_no",
+        F.col("first.doc_id").alias("first_doc_id"),
+        F.col("first.line_no").alias("first_line_no"),
+        "times",
+        ((F.col("times") <= most) | (here == F.col("first"))).alias("kept"),
     )
 
 
