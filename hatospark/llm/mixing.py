@@ -28,6 +28,12 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def key_of(id_col: str) -> Column:
+    """A number in [0, 2^60) from the id's MD5, the same on every engine."""
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """``sources`` (one row per source: source, source_size, n_docs) with ``target``.
 
@@ -67,9 +73,9 @@ def taken(sized: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("source").alias("_of"), "source_size", "target", "_ranges",
         F.floor(F.round("target") / F.greatest("source_size", F.lit(1))).alias("_passes"),
     )
-    # Uniform keys in [0, 2^32): equal ranges hold equal shares of a source, however large it is.
+    # Uniform keys: equal ranges hold equal shares of a source, however large it is.
     rows = sized.join(info, sized["source"].eqNullSafe(info["_of"])).withColumn(
-        "_range", F.floor(F.shiftrightunsigned("key", 32) * F.col("_ranges") / 2**32)
+        "_range", F.floor(F.shiftright("key", 28) * F.col("_ranges") / 2**32)
     )
     before = (Window.unboundedPreceding, -1)
     ranges = rows.groupBy("_of", "_range").agg(F.sum("size").alias("_sum"))
@@ -111,7 +117,7 @@ def mixed(
         F.col(id_col).alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         size_of(text).alias("size"),
-        F.xxhash64(F.lit("mix"), F.col(id_col)).alias("key"),
+        key_of(id_col).alias("key"),
         F.xxhash64(text).alias("_tie"),
     )
     return _mixed(sized, weights, share, most).drop("_tie")
@@ -135,7 +141,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         "doc_id",
         F.col("source").cast("string").alias("source"),
         size_of("text").alias("size"),
-        F.xxhash64(F.lit("mix"), F.col("doc_id")).alias("key"),
+        key_of("doc_id").alias("key"),
         F.xxhash64("text").alias("_tie"),
     )
     # Repeated rows get the same numbers each: what all of them take, dealt out evenly.

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts
+from . import (
+    decontamination,
+    html_text,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_counts,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    )
+    ).drop("version")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +61,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents")).drop("version")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +84,108 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: The same results by other means, where SQL has any; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    # All windows of 13 tokens: a window with two substitutions keeps four tokens in a row.
+    "op1_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS h
+            FROM documents),
+        b AS (
+            SELECT min(item_id) AS item_id, h FROM (
+                SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS h
+                FROM benchmark) WHERE len(h) >= 8 GROUP BY h),
+        dp AS (SELECT doc_id, h, unnest(range(1, len(h) - 2)) AS i FROM d),
+        bp AS (SELECT item_id, h, unnest(range(1, len(h) - 2)) AS j FROM b),
+        dk AS (SELECT doc_id, i, h[i:i+3] AS k FROM dp),
+        bk AS (SELECT item_id, j, h[j:j+3] AS k FROM bp),
+        shifts AS (SELECT DISTINCT doc_id, item_id, i - j AS s FROM dk JOIN bk USING (k)),
+        pair AS (
+            SELECT doc_id, item_id, s, d.h AS x, b.h AS y, least(13, len(b.h)) AS w,
+                   greatest(1, 1 - s) AS first, least(len(b.h), len(d.h) - s) AS last
+            FROM shifts JOIN d USING (doc_id) JOIN b USING (item_id)),
+        starts AS (SELECT *, unnest(range(first, last - w + 2)) AS j FROM pair),
+        scored AS (
+            SELECT doc_id, item_id, s, j, w, len(y) AS n,
+                   len(list_filter(range(0, w), lambda k: x[j + s + k] = y[j + k])) AS equal
+            FROM starts),
+        best AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, item_id
+                                         ORDER BY equal DESC, j + s, j DESC) AS place
+            FROM scored WHERE equal >= w - CASE WHEN n >= 13 THEN 2 ELSE 0 END)
+        SELECT doc_id, item_id, CAST(j + s - 1 AS INT) AS doc_start, CAST(j - 1 AS INT) AS item_start,
+               CAST(w AS INT) AS n_tokens, CAST(equal AS INT) AS n_equal
+        FROM best WHERE place = 1""",
+    "op3_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                   CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS k
+            FROM documents),
+        s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+            FROM d GROUP BY source),
+        levels AS (
+            SELECT max((total - before) / after) AS level FROM (
+                SELECT 1.5::DOUBLE * (SELECT sum(source_size) FROM s) AS total,
+                       (SELECT coalesce(sum(2.0::DOUBLE * y.source_size), 0) FROM s y
+                        WHERE 2.0::DOUBLE * y.source_size / y.w < 2.0::DOUBLE * x.source_size / x.w) AS before,
+                       (SELECT sum(y.w) FROM s y
+                        WHERE 2.0::DOUBLE * y.source_size / y.w >= 2.0::DOUBLE * x.source_size / x.w) AS after
+                FROM s x)),
+        t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, level * w) AS target FROM s, levels),
+        run AS (
+            SELECT doc_id, d.source, size, source_size, target,
+                   CAST(round(target) AS BIGINT) // greatest(source_size, 1) AS passes,
+                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+        SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(passes * size + greatest(0, least(size, CAST(round(target) AS BIGINT)
+                    - passes * source_size - before)) AS BIGINT) AS taken
+        FROM run""",
+    # One edit leaves one half of a line untouched; linked lines are then followed as far as they go.
+    "op9_line_dedup": r"""
+        WITH RECURSIVE cut AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+            FROM documents WHERE doc_id IS NOT NULL),
+        place AS (
+            SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+            FROM cut WHERE trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+        lines AS (SELECT line, length(line) AS n, count(*) AS times FROM place GROUP BY line),
+        half AS (
+            SELECT line, n, m, ((m - 1) // 2)::INT AS k FROM (
+                SELECT line, n, unnest([n, n - 1]) AS m FROM lines WHERE n >= 20)),
+        met AS (
+            SELECT a.line AS a, b.line AS b FROM half a JOIN half b
+              ON a.m = b.m AND left(a.line, a.k) = left(b.line, b.k)
+            WHERE a.line <> b.line AND abs(a.n - b.n) <= 1
+            UNION
+            SELECT a.line, b.line FROM half a JOIN half b
+              ON a.m = b.m AND right(a.line, a.k) = right(b.line, b.k)
+            WHERE a.line <> b.line AND abs(a.n - b.n) <= 1),
+        near AS (
+            SELECT a, b FROM met WHERE length(a) >= length(b) AND len(list_filter(range(1, length(a) + 1),
+                lambda i: left(a, i - 1) = left(b, i - 1) AND right(a, length(a) - i) = right(b, length(a) - i)
+                          AND (length(b) = length(a) OR length(b) = length(a) - 1
+                               AND left(b, i - 1) || right(b, length(a) - i) = b))) > 0),
+        link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+        reach AS (
+            SELECT a AS line, a AS other FROM link
+            UNION
+            SELECT r.line, l.b FROM reach r JOIN link l ON l.a = r.other),
+        member AS (
+            SELECT line, other FROM reach
+            UNION ALL
+            SELECT line, line FROM lines WHERE line NOT IN (SELECT a FROM link)),
+        firsts AS (SELECT line, min((doc_id, line_no)) AS f FROM place GROUP BY line),
+        class AS (
+            SELECT m.line, CAST(sum(l.times) AS BIGINT) AS times, min(f) AS f
+            FROM member m JOIN lines l ON l.line = m.other JOIN firsts ON firsts.line = m.other
+            GROUP BY m.line)
+        SELECT doc_id, CAST(line_no AS INT) AS line_no, struct_extract_at(f, 1) AS first_doc_id,
+               CAST(struct_extract_at(f, 2) AS INT) AS first_line_no, times,
+               times <= 6 OR f = (doc_id, line_no) AS kept
+        FROM place JOIN class USING (line)""",
+}
