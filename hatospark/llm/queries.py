@@ -97,8 +97,8 @@ ORACLE: dict[str, str] = {
                 FROM benchmark) WHERE len(h) >= 8 GROUP BY h),
         dp AS (SELECT doc_id, h, unnest(range(1, len(h) - 2)) AS i FROM d),
         bp AS (SELECT item_id, h, unnest(range(1, len(h) - 2)) AS j FROM b),
-        dk AS (SELECT doc_id, i, h[i:i+3] AS k FROM dp),
-        bk AS (SELECT item_id, j, h[j:j+3] AS k FROM bp),
+        dk AS (SELECT doc_id, i, concat_ws(' ', h[i], h[i+1], h[i+2], h[i+3]) AS k FROM dp),
+        bk AS (SELECT item_id, j, concat_ws(' ', h[j], h[j+1], h[j+2], h[j+3]) AS k FROM bp),
         shifts AS (SELECT DISTINCT doc_id, item_id, i - j AS s FROM dk JOIN bk USING (k)),
         pair AS (
             SELECT doc_id, item_id, s, d.h AS x, b.h AS y, least(13, len(b.h)) AS w,
