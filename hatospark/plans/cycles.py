@@ -1,12 +1,13 @@
 """The reproductive cycle commands over the derived tables, with their oracle SQL.
 
 The oracle states each command on its own, one request per cycle.  The replay of
-mixed batches has none; tests compare it with a plain sequential run.
+mixed batches has a recursive one; tests compare it with a plain sequential run.
 """
 
 from __future__ import annotations
 
 from ..operators import cycles as C
+from . import replay_sql
 from .settings import AS_OF
 
 CYCLE = (
@@ -366,3 +367,4 @@ ORACLE |= {
         SELECT id_alerta, id_ciclo, id_animal, 'Palpación 1', fecha_inicio + 30, 'Pendiente' FROM nuevo""",
     "iniciar_ciclos__rechazadas": f"{_STARTS} SELECT seq, motivo FROM pedido WHERE motivo IS NOT NULL",
 }
+ORACLE |= replay_sql.ORACLE

@@ -592,7 +592,7 @@ FIXTURES = {
                resultado_palpacion2, id_veterinario_palp2, fecha_parto_real, resultado_parto,
                id_veterinario_parto
         FROM {fx_ciclo}""",
-    # Only Spark reads this one: the replay of mixed batches has no oracle SQL.
+    # Only Spark reads this one: the oracle of the replay states its own commands.
     "fx_lote": """
         SELECT id_ciclo * 16 + (id_ciclo * 5 + k * 3) % 16 AS seq, id_ciclo, id_animal, id_ciclo % 7 AS id_usuario,
                CASE k % 8 WHEN 0 THEN 'registrar_palpacion1' WHEN 1 THEN 'editar_servicio'
@@ -729,6 +729,8 @@ def with_tables(sql: str) -> str:
             add(name)
     head = ",\n".join(f"{n} AS ({q})" for n, q in ctes.items())
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}" if head else body
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}" if head else body
     return f"WITH {head}\n{body}" if head else body
