@@ -188,4 +188,60 @@ ORACLE: dict[str, str] = {
                CAST(struct_extract_at(f, 2) AS INT) AS first_line_no, times,
                times <= 6 OR f = (doc_id, line_no) AS kept
         FROM place JOIN class USING (line)""",
+    # The logarithm is that of the bins' growth, 1.02.
+    "op10_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, lang, source, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        win AS (
+            SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+        repeated AS (
+            SELECT doc_id, count(DISTINCT place) AS n
+            FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM win JOIN twice USING (doc_id, k))
+            GROUP BY doc_id),
+        dup AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        m AS (
+            SELECT doc_id, lang, source, len(w) AS n_words,
+                   coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                   coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+            FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 2 * n_repeat_words > n_words AS base_failed FROM m),
+        v AS (
+            SELECT doc_id, lang, source, base_failed,
+                   unnest(['symbols', 'lines', 'repeats', 'length']) AS metric,
+                   unnest([0.05, 0.2, 0.2, 9.0])::DOUBLE AS least,
+                   unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_words, 1),
+                           n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)]) AS value
+            FROM b),
+        bins AS (
+            SELECT lang, source, metric, least, count(*) AS n,
+                   CASE WHEN value > 0.0001::DOUBLE
+                        THEN greatest(ceil(ln(value / 0.0001::DOUBLE) / 0.01980262729617973::DOUBLE), 0) ELSE 0 END AS bin
+            FROM v WHERE NOT base_failed GROUP BY ALL),
+        ranked AS (
+            SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto,
+                   sum(n) OVER (PARTITION BY lang, source, metric) AS total,
+                   CASE WHEN bin = 0 THEN 0 ELSE 0.0001::DOUBLE * pow(1.02::DOUBLE, bin - 0.5) END AS middle
+            FROM bins),
+        quartiles AS (
+            SELECT lang, source, metric, least, min(middle) FILTER (4 * upto >= total) AS low,
+                   min(middle) FILTER (4 * upto >= 3 * total) AS high
+            FROM ranked GROUP BY ALL),
+        verdict AS (
+            SELECT doc_id, bool_and(value <= greatest(high + 3 * (high - low), q.least)) AS inside
+            FROM v LEFT JOIN quartiles q ON q.metric = v.metric AND q.lang IS NOT DISTINCT FROM v.lang
+                 AND q.source IS NOT DISTINCT FROM v.source
+            GROUP BY doc_id)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+               CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT base_failed AND coalesce(inside, false) AS kept
+        FROM b JOIN verdict USING (doc_id)""",
 }
