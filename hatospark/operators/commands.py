@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint
@@ -600,40 +600,34 @@ def ingreso_venta_animal(
     }
 
 
-_FROM = "if(day(fecha_inicio) = 1, fecha_inicio, date_add(last_day(fecha_inicio), 1))"
-_TO = "if(fecha_fin = last_day(fecha_fin), trunc(fecha_fin, 'MM'), add_months(trunc(fecha_fin, 'MM'), -1))"
-
-
 def period_totals(periods: DataFrame, daily: DataFrame) -> DataFrame:
     """Sum daily amounts over closed date ranges with equality joins only.
 
-    A range is cut into the whole months inside it and the days at its ends, so
-    a period of many years is a few hundred pieces and no row is compared with
-    every period.  ``daily`` has one row per ``dia`` with ``litros``.
+    The running total of all days from the first to the day after the last is a table of one row per
+    calendar day; a range is the difference of two of its rows. ``daily`` has one row per ``dia``
+    with ``litros``.
     """
-    levels = daily.selectExpr(
-        "inline(array(struct('D' AS nivel, dia AS desde, litros), "
-        "struct('M' AS nivel, trunc(dia, 'MM') AS desde, litros)))"
-    ).groupBy("nivel", "desde").agg(F.sum("litros").alias("litros"))
-    none = "CAST(array() AS ARRAY<DATE>)"
-    pieces = (
-        periods.filter("fecha_inicio <= fecha_fin")
-        .selectExpr("seq", "fecha_inicio", "fecha_fin", f"{_FROM} AS m1", f"{_TO} AS m2")
-        .selectExpr(
-            "seq",
-            f"if(m1 <= m2, sequence(m1, m2, INTERVAL 1 MONTH), {none}) AS meses",
-            f"""if(m1 <= m2,
-                   concat(if(fecha_inicio < m1, sequence(fecha_inicio, date_sub(m1, 1)), {none}),
-                          if(last_day(m2) < fecha_fin, sequence(date_add(last_day(m2), 1), fecha_fin), {none})),
-                   sequence(fecha_inicio, fecha_fin)) AS dias""",
-        )
-        .selectExpr(
-            "seq",
-            "inline(concat(transform(meses, m -> struct('M' AS nivel, m AS desde)), "
-            "transform(dias, d -> struct('D' AS nivel, d AS desde))))",
-        )
+    first, last = (daily.select(f("dia")).scalar() for f in (F.min, F.max))
+    days = daily.agg(F.min("dia").alias("a"), F.max("dia").alias("b")).selectExpr(
+        "explode(sequence(a, date_add(b, 1))) AS dia"
+    )
+    # One row per calendar day, however many animals and years of milk there are.
+    before = Window.orderBy("dia").rowsBetween(Window.unboundedPreceding, -1)
+    running = days.join(daily, "dia", "left").select(
+        "dia", F.coalesce(F.sum("litros").over(before), F.lit(0)).alias("antes")
+    )
+
+    def within(day):
+        return F.greatest(first, F.least(F.date_add(last, 1), day))
+
+    ends = periods.filter("fecha_inicio <= fecha_fin").select(
+        "seq", within(F.col("fecha_inicio")).alias("desde"), within(F.date_add("fecha_fin", 1)).alias("hasta")
+    )
+    start = running.select(F.col("dia").alias("desde"), F.col("antes").alias("_desde"))
+    end = running.select(F.col("dia").alias("hasta"), F.col("antes").alias("_hasta"))
+    return (
+        ends.join(start, "desde").join(end, "hasta").select("seq", (F.col("_hasta") - F.col("_desde")).alias("litros"))
     )
-    return pieces.join(levels, ["nivel", "desde"]).groupBy("seq").agg(F.sum("litros").alias("litros"))
 
 
 def liquidar_leche(
