@@ -45,12 +45,6 @@ HEADLINES = [
     "claves_duplicadas",
     "checks_fila",
     "dominios_enum",
-    "alta_animales__tbl_animal",
-    "sanidad_individual__tbl_alerta",
-    "sanidad_masiva__tbl_alerta",
-    "borrado_en_cascada__tbl_animal",
-    "registrar_movimientos__stock_bajo",
-    "aplicar_pesajes__flujo",
 ]
 
 
