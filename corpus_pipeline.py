@@ -19,8 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that recur across the corpus, near copies of lines included."""
-    return line_dedup.without_repeated_lines(docs)
+    """Texts without lines that recur across the corpus, near copies of lines included.
+
+    Of lines of at least ``LEAST_CHARS`` characters the first place is left, however few there are.
+    """
+    return line_dedup.without_repeated_lines(docs, most_long=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,13 +239,15 @@ def line_classes(
     threshold: int = THRESHOLD,
     least: int = LEAST_CHARS,
     most: int = MOST_TIMES,
+    most_long: int | None = None,
 ) -> DataFrame:
     """One row per line that is not blank: where it stands, the first place of its class, and kept.
 
     Columns: doc_id, version (hash of the text, which tells apart different texts with one id),
     line_no (from 0), first_doc_id, first_line_no, times (lines of the class), kept. A class holds the
     lines, trimmed of blanks, that are equal or linked by chains of at most ``threshold`` edits. A
-    class with more than ``most`` lines keeps its first place only. Null and blank texts have no
+    class with more than ``most`` lines (``most_long``, if given, for lines of at least ``least``
+    characters) keeps its first place only. Null and blank texts have no
     lines; rows with a null id have no place and give no rows; repeated rows repeat their lines, and
     if one of them is the first place all of them are. Other columns are not read.
     """
@@ -269,6 +271,7 @@ def line_classes(
         "h", "n", F.coalesce("all_times", "times").alias("times"), F.coalesce("of_all", "first").alias("first")
     )
     here = F.struct("doc_id", "line_no")
+    allowed = F.when(F.col("n") >= least, F.lit(most if most_long is None else most_long)).otherwise(most)
     placed = occurrences.drop("line").join(classes, ["h", "n"], "left")
     placed = placed.withColumns(
         {"times": F.coalesce("times", F.lit(1)), "first": F.coalesce("first", here)}
@@ -280,11 +283,13 @@ def line_classes(
         F.col("first.doc_id").alias("first_doc_id"),
         F.col("first.line_no").alias("first_line_no"),
         "times",
-        ((F.col("times") <= most) | (here == F.col("first"))).alias("kept"),
+        ((F.col("times") <= allowed) | (here == F.col("first"))).alias("kept"),
     )
 
 
-def without_repeated_lines(docs: DataFrame, share: float = LEAST_SHARE) -> DataFrame:
+def without_repeated_lines(
+    docs: DataFrame, share: float = LEAST_SHARE, most_long: int | None = None
+) -> DataFrame:
     """``docs``, all columns, its texts without the lines that ``line_classes`` does not keep.
 
     ``n_chars``, where there is one, follows the text. A text that loses no line is not touched. A
@@ -292,7 +297,7 @@ def without_repeated_lines(docs: DataFrame, share: float = LEAST_SHARE) -> DataF
     Rows with a null id or text stay as they are.
     """
     gone = (
-        line_classes(docs)
+        line_classes(docs, most_long=most_long)
         .filter("NOT kept")
         .groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
         .agg(F.collect_set("line_no").alias("_gone"))

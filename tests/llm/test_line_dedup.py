@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+import corpus_pipeline
+
 from hatospark.llm import line_dedup as L
 from tests.llm.conftest import DOCUMENTS
 
@@ -100,3 +102,10 @@ def test_odd_documents(odd_documents, no_documents):
     ids = sorted(r.doc_id for r in out.filter("doc_id IS NOT NULL").collect())
     assert ids == [1, 1, 2, 3, 4, 5, 6, 7, 9, 10]
     assert out.filter("doc_id IS NULL").count() == 2
+
+
+def test_pipeline_leaves_one_of_each_long_line(rows):
+    line, short = "a line of some length that stands in two documents", "short"
+    docs = [(i, f"{chr(97 + i) * 40}\n{line}\n{short}", "en", "a", None) for i in range(2)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.lines(None, rows(DOCUMENTS, docs), None).collect()}
+    assert out == {0: docs[0][1], 1: f"{'b' * 40}\n{short}"}
