@@ -22,8 +22,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that recur across the corpus, near copies of lines included.
 
     Of lines of at least ``LEAST_CHARS`` characters the first place is left, however few there are.
+    A document goes only if nothing of it is left.
     """
-    return line_dedup.without_repeated_lines(docs, most_long=1)
+    return line_dedup.without_repeated_lines(docs, share=0.0, most_long=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -293,7 +293,8 @@ def without_repeated_lines(
     """``docs``, all columns, its texts without the lines that ``line_classes`` does not keep.
 
     ``n_chars``, where there is one, follows the text. A text that loses no line is not touched. A
-    document left with under ``share`` of its characters goes: the rest of it stands elsewhere.
+    document left with blanks only, or with under ``share`` of its characters, goes; with share 0 no
+    line is lost that stands nowhere else.
     Rows with a null id or text stay as they are.
     """
     gone = (
@@ -309,7 +310,8 @@ def without_repeated_lines(
     rows = docs.join(gone, mine, "left")
     rows = rows.withColumn("_rest", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
     rows = rows.filter(
-        F.col("_gone").isNull() | (F.length("_rest") >= share * F.length("text"))
+        F.col("_gone").isNull()
+        | ((F.btrim("_rest", F.lit(BLANKS)) != "") & (F.length("_rest") >= share * F.length("text")))
     )
     changed = {"text": F.col("_rest")}
     if "n_chars" in docs.columns:

@@ -109,3 +109,10 @@ def test_pipeline_leaves_one_of_each_long_line(rows):
     docs = [(i, f"{chr(97 + i) * 40}\n{line}\n{short}", "en", "a", None) for i in range(2)]
     out = {r.doc_id: r.text for r in corpus_pipeline.lines(None, rows(DOCUMENTS, docs), None).collect()}
     assert out == {0: docs[0][1], 1: f"{'b' * 40}\n{short}"}
+
+
+def test_pipeline_leaves_what_stands_nowhere_else(rows):
+    line, own = "a line that many documents share " * 20, "own text of this document and of no other one"
+    docs = [(i, line, "en", "a", None) for i in range(8)] + [(9, f"{line}\n\n{own}", "en", "a", None)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.lines(None, rows(DOCUMENTS, docs), None).collect()}
+    assert out == {0: line, 9: f"\n{own}"}
