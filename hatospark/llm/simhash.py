@@ -126,6 +126,24 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _fingerprints(docs: DataFrame, keep: list[Column], text: str) -> DataFrame:
+    def make():
+        return lambda value: (fingerprint(value),)
+
+    return checkpoint(map_texts(docs, keep, text, make, "fp bigint"))
+
+
+def _firsts(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """(fp, ``name``): for every fingerprint the least ``value`` of its component."""
+    prints = checkpoint(rows.groupBy("fp").agg(F.min(value).alias("least")))
+    root = roots(links(prints))
+    named = prints.join(root, prints["fp"] == root["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    least = named.groupBy("root").agg(F.min("least").alias(name))
+    return named.select("fp", "root").join(least, "root").select("fp", name)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id.
 
@@ -135,28 +153,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     id is never the least one; a component of null ids only has a null component_id. Other columns
     are not read.
     """
-
-    def make():
-        return lambda value: (fingerprint(value),)
-
-    rows = map_texts(docs, [F.col(id_col).alias("doc_id")], text, make, "fp bigint")
-    rows = checkpoint(rows)
-    prints = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    root = roots(links(prints))
-    named = prints.join(root, prints["fp"] == root["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    rows = _fingerprints(docs, [F.col(id_col).alias("doc_id")], text)
+    classes = _firsts(rows, F.col("doc_id"), "component_id")
     return rows.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is the first of its component.
+    """One row of ``docs``, all columns, of each component: of its first document and text.
 
-    Rows without an id stay. Repeated rows of one document stay or go together.
+    A document is known by its id and the hash of its text, so other texts under an id are judged on
+    their own. Of fully or partly repeated rows of the first document one stays. Rows without an id stay.
     """
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    keep = [F.col("doc_id"), F.xxhash64("text").alias("version")]
+    rows = _fingerprints(docs, keep, "text").filter("doc_id IS NOT NULL")
+    first = _firsts(rows, F.struct("doc_id", "version"), "first")
+    copies = rows.groupBy("doc_id", "version").agg(F.first("fp").alias("fp"), F.count("*").alias("n"))
+    copies = checkpoint(copies.join(first, "fp").select(
+        F.col("doc_id").alias("_id"), F.col("version").alias("_version"),
+        (F.struct("doc_id", "version") != F.col("first")).alias("gone"), "n",
+    ).filter("gone OR n > 1"))
+    mine = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
+    kept = docs.join(copies.select("_id", "_version"), mine, "left_anti")
+    repeated = copies.filter("NOT gone")
+    if repeated.isEmpty():
+        return kept
+    repeated = docs.join(repeated.select("_id", "_version"), mine)
+    one = repeated.dropDuplicates(["_id", "_version"]).select(*docs.columns)
+    return kept.select(*docs.columns).union(one)

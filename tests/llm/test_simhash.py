@@ -5,6 +5,7 @@ import xxhash
 
 from hatospark.llm import simhash
 from hatospark.llm.components import roots
+from tests.llm.conftest import DOCUMENTS, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +105,16 @@ def test_odd_documents(odd_documents, no_documents):
     kept = simhash.keep_one(odd_documents)
     assert kept.columns == ["doc_id", *[c for c in odd_documents.columns if c != "doc_id"]]
     assert kept.filter("doc_id IS NULL").count() == 2
+
+
+def test_one_row_of_each_group_where_ids_repeat(rows):
+    rng = random.Random(6)
+    a, b = words(rng, 200), words(rng, 200)
+    docs = [(1, a, "en", "a", 1), (1, a, "en", "a", 1), (5, a, "en", "a", 1), (5, b, "en", "a", 1), (1, b + " x", "fr", "b", 1)]
+    docs += [(7, words(rng, 200), "en", "a", 1), (None, a, "en", "a", 1)]
+    near = [r.component_id for r in simhash.near_duplicates(rows(DOCUMENTS, docs)).collect()]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(rows(DOCUMENTS, docs)).collect())
+    prints = {plain_fingerprint(b), plain_fingerprint(b + " x")}
+    same = bin(min(prints) ^ max(prints)).count("1") <= 4
+    assert len(near) == 7
+    assert kept == sorted([(0, a), (1, a), (1, b + " x"), (7, docs[5][1])] + ([] if same else [(5, b)]))
