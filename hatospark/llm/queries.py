@@ -16,6 +16,7 @@ from . import (
     simhash,
     substring_dedup,
     token_counts,
+    token_files,
 )
 
 
@@ -68,6 +69,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.token_files(_table(spark, sf_dir, "documents"), path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +87,7 @@ QUERIES = {
         op8_simhash,
         op9_line_dedup,
         op10_quality_rules,
+        op12_token_files,
     )
 }
 
