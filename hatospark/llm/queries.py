@@ -10,6 +10,7 @@ from . import (
     html_text,
     language_id,
     line_dedup,
+    merkle,
     mixing,
     quality_classifier,
     quality_rules,
@@ -74,6 +75,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), path)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +93,7 @@ QUERIES = {
         op9_line_dedup,
         op10_quality_rules,
         op12_token_files,
+        op13_merkle,
     )
 }
 
@@ -251,4 +257,58 @@ ORACLE: dict[str, str] = {
                CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
                NOT base_failed AND coalesce(inside, false) AS kept
         FROM b JOIN verdict USING (doc_id)""",
+    # The register of the CRC-32 takes eight steps a character of the id; trees rise level by level.
+    "op13_merkle": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, n_chars,
+                   concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+                          coalesce(strlen(source) || ':' || source, '-'),
+                          coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail,
+                   list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                                      lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[])),
+                               lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)),
+                               4294967295::BIGINT) AS reg
+            FROM documents),
+        leaf AS (
+            SELECT doc_id, lang, sha256(concat(head, coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), tail)) AS h,
+                   sha256(concat(head, strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), tail)) AS other,
+                   xor(reg, 4294967295) % 7 = 0 AND n_chars IS NOT NULL AS tampered
+            FROM d),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+                   count(*) OVER (PARTITION BY lang) AS n,
+                   dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+            FROM leaf),
+        node AS (
+            SELECT g, 0 AS level, i, h, n FROM ranked
+            UNION ALL
+            SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 1) // 2
+            FROM node WHERE n > 1 GROUP BY g, level, i // 2),
+        sub AS (SELECT g, level AS depth, h AS subroot FROM node WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, g AS i, subroot AS h, (SELECT count(*) FROM sub) AS n FROM sub
+            UNION ALL
+            SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 1) // 2
+            FROM top WHERE n > 1 GROUP BY level, i // 2),
+        goal AS (SELECT level AS height, h AS root FROM top WHERE n = 1),
+        member AS (
+            SELECT g, level, i, h FROM node WHERE n > 1
+            UNION ALL
+            SELECT g, depth + level, i, top.h FROM top, (SELECT g, depth FROM sub)),
+        step AS (
+            SELECT doc_id, g, i AS place, depth + height AS steps, depth,
+                   CASE WHEN tampered THEN other ELSE h END AS folded, 0 AS lev, i AS x, '' AS proof
+            FROM ranked JOIN sub USING (g), goal
+            UNION ALL
+            SELECT doc_id, s.g, place, steps, depth,
+                   sha256(CASE WHEN m.h IS NULL THEN folded
+                               WHEN y % 2 = 1 THEN m.h || folded ELSE folded || m.h END),
+                   lev + 1, CASE WHEN lev + 1 = depth THEN s.g ELSE y // 2 END, proof || coalesce(m.h, '')
+            FROM (SELECT *, CASE WHEN lev = depth THEN g ELSE x END AS y FROM step WHERE lev < steps) s
+            LEFT JOIN member m ON m.g = s.g AND m.level = s.lev AND m.i = xor(s.y, 1)),
+        done AS (SELECT * FROM step WHERE lev = steps)
+        SELECT r.doc_id, r.h AS leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root,
+               folded = root AS verified
+        FROM done JOIN ranked r ON r.g = done.g AND r.i = place JOIN sub ON sub.g = r.g, goal""",
 }
