@@ -15,6 +15,7 @@ from . import (
     quality_classifier,
     quality_rules,
     simhash,
+    spelling,
     substring_dedup,
     token_counts,
     token_files,
@@ -70,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_files.token_files(_table(spark, sf_dir, "documents"), path)
@@ -92,6 +97,7 @@ QUERIES = {
         op8_simhash,
         op9_line_dedup,
         op10_quality_rules,
+        op11_spelling_variants,
         op12_token_files,
         op13_merkle,
     )
@@ -257,6 +263,53 @@ ORACLE: dict[str, str] = {
                CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
                NOT base_failed AND coalesce(inside, false) AS kept
         FROM b JOIN verdict USING (doc_id)""",
+    # Words that differ by a replaced letter share what stands around it; the others lack one letter.
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE run AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{6,}')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+            FROM documents),
+        each AS (SELECT doc_id, w, count(*) AS times FROM run GROUP BY doc_id, w),
+        hashed AS (
+            SELECT w, times, xor(4294967295, list_reduce(
+                       flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE
+                           WHEN ord(c) < 128 THEN [ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]
+                           ELSE [192 + (ord(c) >> 6), 0, 0, 0, 0, 0, 0, 0,
+                                 128 + (ord(c) & 63), 0, 0, 0, 0, 0, 0, 0]::BIGINT[] END)),
+                       lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295::BIGINT)) AS h
+            FROM each),
+        word AS (
+            SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+                SELECT times, CASE WHEN h % 199 = 0
+                                   THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word
+                FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+        gap AS (
+            SELECT word, n, i, left(word, i - 1) AS l, substr(word, i + 1) AS r
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+        less AS (SELECT DISTINCT word, n, l || r AS short FROM gap),
+        near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n
+            FROM gap a JOIN gap b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+            UNION ALL
+            SELECT less.word, less.n, w.word, w.n FROM less JOIN word w ON w.word = short
+            UNION ALL
+            SELECT w.word, w.n, less.word, less.n FROM less JOIN word w ON w.word = short),
+        best AS (
+            SELECT word, count(*) AS n_near, max(other_n) AS form_n,
+                   min(other) FILTER (other_n = top) AS form
+            FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+        formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form,
+                   CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+            FROM word LEFT JOIN best USING (word)),
+        chain AS (
+            SELECT word, form AS reached FROM formed WHERE form IS NOT NULL
+            UNION ALL
+            SELECT chain.word, f.form FROM chain JOIN formed f ON f.word = reached WHERE f.form IS NOT NULL),
+        ends AS (SELECT chain.word, reached FROM chain JOIN formed f ON f.word = reached WHERE f.form IS NULL)
+        SELECT word, form, coalesce(reached, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+        FROM formed LEFT JOIN ends USING (word)""",
     # The register of the CRC-32 takes eight steps a character of the id; trees rise level by level.
     "op13_merkle": r"""
         WITH RECURSIVE d AS (
