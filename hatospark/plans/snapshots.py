@@ -20,6 +20,11 @@ def _highest(rows, key):
     return rows.agg(F.max(key)).first()[0] or 0
 
 
+def width_of(snapshot, key):
+    """Keys of a range, so that a snapshot has RANGES of them."""
+    return _highest(snapshot, key) // RANGES + 1
+
+
 def _since(log, key):
     """The log up to a position, and since."""
     position = int(_highest(log, key) * (1 - BATCH_SHARE))
@@ -28,7 +33,7 @@ def _since(log, key):
 
 def _applied(t, snapshot, key, batch, change, batch_key=None):
     """``snapshot`` written by key range, ``batch`` applied to the ranges it touches, all read back."""
-    folder, width = new_folder(t.spark, "estado"), _highest(snapshot, key) // RANGES + 1
+    folder, width = new_folder(t.spark, "estado"), width_of(snapshot, key)
     write_snapshot(snapshot, key, folder, width)
     update_snapshot(folder, batch.withColumnRenamed(batch_key or key, key), key, change, snapshot, width)
     return read_snapshot(t.spark, folder, snapshot)
