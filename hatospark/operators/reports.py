@@ -14,7 +14,7 @@ def _date(as_of: str) -> Column:
     return F.lit(as_of).cast("date")
 
 
-def _percent(part: Column, whole: Column, scale: int) -> Column:
+def percent(part: Column, whole: Column, scale: int) -> Column:
     """Share in percent, divided as decimals so that ties round away from zero; NULL over 0."""
     share = part.cast("decimal(20,0)") * 100 / F.nullif(whole.cast("decimal(20,0)"), F.lit(0))
     return F.round(share, scale).cast("double")
@@ -96,6 +96,11 @@ def inventario_mangas(manga: DataFrame, animal: DataFrame) -> DataFrame:
         .groupBy(F.col("id_manga_actual").alias("id_manga"))
         .agg(F.count("id_animal").alias("cabezas"))
     )
+    return inventario(manga, heads)
+
+
+def inventario(manga: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pens with their ``cabezas`` of ``heads`` (one row per pen that has any) and occupancy."""
     count = F.coalesce("cabezas", F.lit(0)).cast("bigint")
     return manga.join(heads, "id_manga", "left").select(
         "id_manga",
@@ -104,7 +109,7 @@ def inventario_mangas(manga: DataFrame, animal: DataFrame) -> DataFrame:
         "funcion",
         "capacidad_max",
         count.alias("cantidad_actual"),
-        _percent(count, F.col("capacidad_max"), 1).alias("pct_ocupacion"),
+        percent(count, F.col("capacidad_max"), 1).alias("pct_ocupacion"),
     )
 
 
@@ -340,7 +345,7 @@ def kpi_reproductivo(ciclo: DataFrame, as_of: str) -> DataFrame:
     return ciclo.agg(
         F.count_if(F.col("estado_ciclo").isin("Preñez Provisional", "Preñez Confirmada")).alias("vacas_prenadas"),
         F.count_if(F.col("resultado_parto").isin("Exitoso", "Abortado") & in_month).alias("partos_del_mes"),
-        _percent(F.count_if(F.col("estado_ciclo") == "Parto Exitoso"), F.count("*"), 2).alias("tasa_exito_pct"),
+        percent(F.count_if(F.col("estado_ciclo") == "Parto Exitoso"), F.count("*"), 2).alias("tasa_exito_pct"),
     )
 
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.derived import Tables, with_tables
-from . import changes, commands, cycles, quality, reports, snapshots, streams
+from . import changes, commands, cycles, maintenance, quality, reports, snapshots, streams
 from .settings import AS_OF, RUN_TS
 
-MODULES = (reports, changes, snapshots, streams, commands, cycles, quality)
+MODULES = (reports, maintenance, changes, snapshots, streams, commands, cycles, quality)
 
 _tables: dict[tuple[str, str], Tables] = {}
 

@@ -25,7 +25,7 @@ def width_of(snapshot, key):
     return _highest(snapshot, key) // RANGES + 1
 
 
-def _since(log, key):
+def since(log, key):
     """The log up to a position, and since."""
     position = int(_highest(log, key) * (1 - BATCH_SHARE))
     return log.filter(F.col(key) <= position), log.filter(F.col(key) > position)
@@ -40,13 +40,13 @@ def _applied(t, snapshot, key, batch, change, batch_key=None):
 
 
 def _animals(t, table, log_key, apply):
-    before, batch = _since(t[table], log_key)
+    before, batch = since(t[table], log_key)
     snapshot = apply(t["fx_animal_activo"], before)
     return _applied(t, snapshot, "id_animal", batch, lambda rows: apply(rows, batch))
 
 
 def _stock(t):
-    before, batch = _since(t["tbl_movimiento_insumo"], "id_mov_insumo")
+    before, batch = since(t["tbl_movimiento_insumo"], "id_mov_insumo")
     snapshot = C.saldo_insumos(t["tbl_insumo"], before)
     return _applied(t, snapshot, "id_insumo", batch, lambda rows: C.saldo_insumos(rows, batch))
 
@@ -55,7 +55,7 @@ def _history(t, kind, column):
     key = f"id_{kind}_detalle"
     rows = t.narrow(f"tbl_{kind}_detalle").select(key, "id_animal", column, "fecha_inicio")
     rows = rows.withColumns({"fecha_fin": F.lit(None).cast("date"), "es_vigente": F.lit(True)})
-    before, batch = _since(rows, key)
+    before, batch = since(rows, key)
     snapshot = C.scd2(rows.limit(0), before, key)
     return _applied(t, snapshot, "id_animal", batch, lambda old: C.scd2(old, batch, key))
 
