@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import loose
 from ..functions.checkpoints import checkpoint
+from ..functions.keysets import not_in
 from ..model.columns import AS_OF, CASCADE, RESTRICT, RUN_TS, Table
 from ..model.columns import Column as ColumnRule
 from ..model.tables import TABLES, children_of
@@ -73,22 +74,19 @@ def _named(number: str, names: list[str], alias: str) -> str:
 def orphans(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame:
     """Reference values without a parent, with the number of rows that hold them.
 
-    Each child is read once; its references are counted map-side before the only
-    shuffle of child data, so a value held by a third of all rows costs one row.
+    References are counted map-side (a value held by a third of all rows costs one row).  The parents' keys
+    become bitmaps map-side as well, read from the key columns alone, so no key is shuffled on its
+    own; counted references look themselves up bucket by bucket.
     """
-    held, rules, parents = [], [], []
+    rules = [(t.name, c) for t in TABLES.values() for c in t.references if c.name in set(columns_of(t.name))]
+    parents = list(dict.fromkeys(c.parent for _, c in rules))
+    held = []
     for table in TABLES.values():
-        delivered = set(columns_of(table.name))
-        structs = []
-        for c in table.references:
-            if c.name in delivered:
-                if c.parent not in parents:
-                    parents.append(c.parent)
-                structs.append(
-                    f"struct({len(rules)} AS regla, {parents.index(c.parent)} AS p, "
-                    f"CAST({c.name} AS BIGINT) AS clave)"
-                )
-                rules.append((table.name, c.name))
+        structs = [
+            f"struct({n} AS regla, {parents.index(c.parent)} AS p, CAST({c.name} AS BIGINT) AS clave)"
+            for n, (name, c) in enumerate(rules)
+            if name == table.name
+        ]
         if structs:
             held.append(_entries(source, table, structs, "clave IS NOT NULL").drop("tabla"))
     counted = _union(held).groupBy("regla", "p", "clave").agg(F.count("*").alias("filas"))
@@ -98,9 +96,9 @@ def orphans(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame
             for i, name in enumerate(parents)
         ]
     )
-    return counted.join(known, ["p", "clave"], "left_anti").selectExpr(
+    return not_in(counted, known, ["p"], "clave").selectExpr(
         _named("regla", [t for t, _ in rules], "tabla"),
-        _named("regla", [c for _, c in rules], "columna"),
+        _named("regla", [c.name for _, c in rules], "columna"),
         _named("p", parents, "padre"),
         "clave",
         "filas",
