@@ -1,5 +1,7 @@
 """Key renames."""
 
+import random
+
 from hatospark.model.tables import TABLES
 from hatospark.operators import quality as Q
 
@@ -26,3 +28,40 @@ def test_keys_stay_unique(spark, rows):
     assert _renamed(spark, rows, [1, 2], [(1, 2), (2, 1)]) == ([1, 2], [])
     # A chain whose last link is blocked is blocked as a whole.
     assert _renamed(spark, rows, [1, 2, 3, 4], [(1, 2), (2, 3), (3, 4)]) == ([1, 2, 3, 4], [1, 2, 3])
+
+
+def _blocked(pens, renames):
+    """Brute force: follow the renames until none is blocked any more."""
+    moving, blocked = dict(renames), set()
+    while True:
+        more = {o for o, n in moving.items() if n in pens and n not in moving}
+        if not more:
+            return sorted(blocked)
+        blocked |= more
+        moving = {o: n for o, n in moving.items() if o not in more}
+
+
+def _blocked_down(rows, pens, renames):
+    out = Q._blocked_down(rows("old int, new int", renames), rows("new int", [(p,) for p in pens]))
+    return sorted(r.old for r in out.collect())
+
+
+def test_random_renames(rows):
+    rng = random.Random(1)
+    for n in (6, 12, 40):
+        pens = rng.sample(range(n), rng.randint(n // 2, n))
+        olds, news = rng.sample(range(n), n // 2), rng.sample(range(n + 3), n // 2)
+        renames = [(o, m) for o, m in zip(olds, news) if o != m]
+        assert _blocked_down(rows, pens, renames) == _blocked(set(pens), renames)
+
+
+def test_chain_of_ten_thousand_renames(rows, monkeypatch):
+    """A blocked chain, a free one and a ring; pointers double, so few rounds are written."""
+    n, written, checkpoint = 10_000, [], Q.checkpoint
+    monkeypatch.setattr(Q, "checkpoint", lambda df: written.append(1) or checkpoint(df))
+    chain = [(i, i + 1) for i in range(n)]  # the last one meets key n, which stays
+    free = [(i, i + 1) for i in range(2 * n, 3 * n)]
+    ring = [(4 * n + i, 4 * n + (i + 1) % 100) for i in range(100)]
+    pens = [*range(n + 1), *range(2 * n, 3 * n), *range(4 * n, 4 * n + 100)]
+    assert _blocked_down(rows, pens, chain + free + ring) == list(range(n))
+    assert len(written) < 20
