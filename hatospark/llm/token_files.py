@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,29 +33,31 @@ from ..functions.sequence import total_before
 END = 2
 #: Bytes of a row group and of a page, and rows of a page: what a selective read fetches at least.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 500
-#: Ids of a batch of rows that is handed to the writer at once (a longer document is one batch).
-BATCH_IDS = 1 << 20
 #: Chunks that a Python worker keeps the ids of; beyond, it starts anew.
 KNOWN_CHUNKS = 600_000
 
 SCHEMA = "doc_id bigint, file int, before bigint, n_tokens bigint, ids array<int>"
 
-#: A text is cut before blanks; blanks of other kinds forbid it.
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Bytes of text that are cut and put together at once (a longer text is on its own).
+SLICE = 3 << 20
+#: A text is cut before blanks, and between a letter and a mark; other blanks forbid it.
+CUT, CUTS = "\x01", ((r"([ \t\n\r]+)", r"%s\1"), (r"([A-Za-z])([.,;:!?])", r"\1%s\2"))
+OTHER_BLANKS = (
+    r"[\x01\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+)
 #: A chunk that follows another one: a blank and a word.
 _INNER = re.compile(r"[ \t\n\r]+[^ \t\n\r]")
-_OTHER_BLANKS = re.compile(
-    r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
-)
 
 
 class Encoder:
     """Ids as the library gives them, as little-endian 32-bit numbers.
 
-    A byte-level vocabulary with its usual pattern never joins a blank to what stands before it, so
-    the library's ids of the chunks (blanks and the word after them) are those of the text.  Chunks
-    repeat: the library encodes each once, all new ones of a text at a time.  Texts with unusual
-    blanks or special strings, and vocabularies of any other kind, are encoded as a whole.
+    A byte-level vocabulary with its usual pattern never joins a blank to what stands before it, nor a
+    letter to a mark, so the library's ids of the chunks between are those of the text.  Chunks repeat:
+    those of many texts are numbered at once, the library encodes each new one, and the ids of the texts
+    are put together from theirs.  Texts with unusual blanks or special strings, and vocabularies of any
+    other kind, are encoded as a whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -74,7 +77,7 @@ class Encoder:
             and set(ByteLevel.alphabet()) <= set(spec["model"]["vocab"])
         )
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]]
-        self.special = re.compile("|".join(special) or r"(?!)")
+        self.uncut = "|".join([OTHER_BLANKS, *special])
         self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         if self.by_chunk:
             # A letter of a byte-level token stands for one byte.
@@ -94,21 +97,47 @@ class Encoder:
         cuts = [0, *(4 * np.searchsorted(ends, last) + 4).tolist()]
         return {c: packed[a:b] for c, a, b in zip(chunks, cuts, cuts[1:])}
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_chunk or _OTHER_BLANKS.search(text) or self.special.search(text):
-            return self._whole(text)
-        chunks = _CHUNK.findall(text)
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
         parts = list(map(self.known.get, chunks))
-        if None in parts:
-            new = {c for c, p in zip(chunks, parts) if p is None}
-            alone = {c for c in (chunks[0], chunks[-1]) if c in new and not _INNER.match(c)}
-            found = self._chunks(list(new - alone)) | {c: self._whole(c) for c in alone}
+        new = [c for c, p in zip(chunks, parts) if p is None]
+        if new:
+            inner = list(filter(_INNER.match, new))
+            found = self._chunks(inner)
+            found |= {c: self._whole(c) for c in new if c not in found}
             parts = [found[c] if p is None else p for c, p in zip(chunks, parts)]
             if len(self.known) + len(found) > KNOWN_CHUNKS:
                 self.known.clear()
-            if len(found) <= KNOWN_CHUNKS:
-                self.known.update(found)
-        return b"".join(parts)
+            self.known.update(list(found.items())[:KNOWN_CHUNKS])
+        return parts
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        for pattern, replacement in CUTS:
+            texts = pc.replace_substring_regex(texts, pattern, replacement % CUT)
+        chunks = pc.split_pattern(texts, CUT)
+        coded = chunks.flatten().dictionary_encode()
+        parts = self._known(coded.dictionary.to_pylist())
+        offsets = np.zeros(len(parts) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, parts), np.int32, len(parts)) // 4, out=offsets[1:])
+        ids = pa.array(np.frombuffer(b"".join(parts), "<i4"))
+        taken = pa.ListArray.from_arrays(pa.array(offsets), ids).take(coded.indices)
+        first = chunks.offsets[0].as_py()
+        bounds = taken.offsets.to_numpy()[chunks.offsets.to_numpy() - first]
+        return taken.values.to_numpy(), np.diff(bounds).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` (no nulls) in a row, and the number of each text's."""
+        whole = np.ones(len(texts), bool)
+        if self.by_chunk:
+            whole = pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._cut(texts)
+        values, counts = self._cut(texts.filter(pa.array(~whole)))
+        cut = iter(np.split(values, np.cumsum(counts)[:-1]) if len(counts) else ())
+        each = [
+            np.frombuffer(self._whole(t.as_py()), "<i4") if w else next(cut) for t, w in zip(texts, whole)
+        ]
+        return np.concatenate(each), np.array([len(e) for e in each], np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -118,19 +147,11 @@ def _encoder(name: str) -> Encoder:
         return Encoder(f.read())
 
 
-def _rows(doc_ids: list, packed: list[bytes], file: int, before: int) -> pa.RecordBatch:
-    lengths = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-    ends = np.cumsum(lengths)
-    values = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-    offsets = pa.array(np.r_[0, ends].astype(np.int32))
-    columns = [
-        pa.array(doc_ids, pa.int64()),
-        pa.array(np.full(len(packed), file, np.int32)),
-        pa.array(before + ends - lengths),
-        pa.array(lengths),
-        pa.ListArray.from_arrays(offsets, values),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "before", "n_tokens", "ids"])
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about SLICE bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    cuts = np.flatnonzero(np.diff(sizes // SLICE)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)])
 
 
 def write_tokens(
@@ -153,7 +174,7 @@ def write_tokens(
     """
     docs.sparkSession.sparkContext.addFile(path)
     name = path.rsplit("/", 1)[-1]
-    closing = np.array([end], dtype="<u4").tobytes()
+    names = ["doc_id", "file", "before", "n_tokens", "ids"]
     # The last key spreads any number of copies under one id; it is the same in a repeated task.
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
@@ -165,17 +186,20 @@ def write_tokens(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file, before = _encoder(name), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, packed, size = [], [], 0
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(doc_id)
-                packed.append(encoder.encode(value.as_py() or "") + closing)
-                size += len(packed[-1]) // 4
-                if size >= BATCH_IDS:
-                    yield _rows(ids, packed, file, before)
-                    before, ids, packed, size = before + size, [], [], 0
-            if ids:
-                yield _rows(ids, packed, file, before)
-                before += size
+            for a, b in _slices(batch.column(1)):
+                texts = pc.fill_null(batch.column(1).slice(a, b - a), "")
+                values, counts = encoder.encode(texts)
+                values = np.insert(values, np.cumsum(counts), end)
+                ends = np.cumsum(counts + 1)
+                columns = [
+                    batch.column(0).slice(a, b - a),
+                    pa.array(np.full(b - a, file, np.int32)),
+                    pa.array(before + ends - counts - 1),
+                    pa.array(counts + 1),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                before += int(ends[-1])
 
     options = {
         "parquet.writer.version": "PARQUET_2_0",
