@@ -335,84 +335,6 @@ def rename_keys(source: Source, table: str, renames: DataFrame) -> dict[str, Dat
     moving = renames.join(blocked, "old", "left_anti")
     blocked = checkpoint(blocked.union(_blocked_down(moving, keys)))
     renames = moving.join(blocked, "old", "left_anti")
-    out = {"bloqueados": blocked.select(F.col("root").alias(key))}
-    nulled: dict[str, list] = {}
-    for parent in victims:
-        for child, column in children_of(parent):
-            if column.on_delete not in (RESTRICT, CASCADE):
-                nulled.setdefault(child.name, []).append((column.name, parent))
-    for name in {*victims, *nulled}:
-        df = source(name)
-        if name in deleted:
-            df = df.join(deleted[name], F.col(TABLES[name].key) == F.col("gone"), "left_anti")
-        for column, parent in nulled.get(name, []):
-            df = (
-                df.join(deleted[parent], F.col(column) == F.col("gone"), "left")
-                .withColumn(column, F.when(F.col("gone").isNull(), F.col(column)))
-                .drop("gone")
-            )
-        out[name] = df
-    return out
-
-
-def _blocked_down(renames: DataFrame, keys: DataFrame) -> DataFrame:
-    """The ``old`` keys of ``renames`` whose new key is held by a row that keeps it, directly or in the end.
-
-    Old and new keys are unique, so renames form chains and rings. A link leads on where the new key is that
-    of a row that wants to move itself; the last link of a chain decides for all of it. Each round
-    doubles the links that a pointer spans, so a chain of n links takes log2(n) rounds; rings
-    have no last link and move. ``keys`` are those of the table, as ``new``.
-    """
-    held = renames.join(keys, "new", "left_semi").select("new", F.lit(True).alias("_held"))
-    live = renames.select(F.col("old").alias("new")).join(keys, "new", "left_semi")
-    steps = renames.join(held, "new", "left").join(live.withColumn("_on", F.lit(True)), "new", "left")
-    verdict = F.when(F.col("_on").isNull(), F.col("_held").isNotNull())
-    steps = checkpoint(steps.select("old", F.col("new").alias("_to"), verdict.alias("_stays")))
-    open_ = lambda df: df.filter("_stays IS NULL")
-    left, before = open_(steps).count(), None
-    while left and left != before:
-        ahead = steps.select(F.col("old").alias("_to"), F.col("_to").alias("_next"), F.col("_stays").alias("_then"))
-        moved = open_(steps).join(ahead, "_to").select("old", F.col("_next").alias("_to"), F.col("_then").alias("_stays"))
-        steps = checkpoint(steps.filter("_stays IS NOT NULL").union(moved))
-        left, before = open_(steps).count(), left
-    return steps.filter("_stays").select("old")
-
-
-def rename_keys(source: Source, table: str, renames: DataFrame) -> dict[str, DataFrame]:
-    """Replace keys (``old`` -> ``new``) of ``table`` and of the references to them.
-
-    A key referenced through a column that does not follow updates is kept and
-    reported under ``bloqueados``, and so is one whose new key would not be unique: asked for
-    twice, or held by a row that keeps it. Keys can be swapped; a chain of renames
-    of which one link is blocked is blocked down to its start.
-    """
-    key = TABLES[table].key
-    asked, renames = renames.select("old").distinct(), renames.filter("old <> new").distinct()
-    twice = _union(
-        [
-            renames.groupBy(c).count().filter("count > 1").select(F.col(c).alias("k"))
-            .join(renames, F.col("k") == F.col(c)).select("old")
-            for c in ("old", "new")
-        ]
-    ).distinct()
-    keys = source(table).select(F.col(key).alias("new"))
-    held = [
-        source(child.name).select(F.col(c.name).alias("old")).filter("old IS NOT NULL").distinct()
-        for child, c in children_of(table)
-        if not c.update_cascades
-    ]
-    blocked = twice
-    if held:
-        blocked = blocked.union(asked.join(_union(held), "old", "left_semi")).distinct()
-    blocked = checkpoint(blocked)
-    while True:  # each round follows chains of renames one link further; without chains there is one
-        moving = renames.join(blocked, "old", "left_anti")
-        kept = keys.join(moving.select(F.col("old").alias("new")), "new", "left_anti")
-        more = checkpoint(moving.join(kept, "new", "left_semi").select("old"))
-        if more.isEmpty():
-            break
-        blocked = checkpoint(blocked.union(more))
-    renames = moving
     out = {"bloqueados": blocked.select(F.col("old").alias(key))}
     columns: dict[str, list[str]] = {table: [key]}
     for child, c in children_of(table):
