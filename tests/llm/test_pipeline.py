@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_registered():
     numbers = [n.split("_")[0] for n in queries.QUERIES]
-    assert numbers == [f"op{i}" for i in range(1, 11)]
+    assert numbers == [f"op{i}" for i in range(1, 14)]
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
