@@ -3,6 +3,7 @@
 A sketch counts values in bins of growing width (each bound is ``GROWTH`` times the one before), so
 sketches of parts of the data add up to the sketch of all of it, whatever the order, and a quantile
 is off by at most half a bin.  Documents outside their own group's fences are filtered out by a join.
+Groups too small to judge take the fences of all groups' sketches together.
 """
 
 from __future__ import annotations
@@ -11,26 +12,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import checkpoint
 from .texts import BLANKS, map_texts
 
 GROWTH, LEAST = 1.02, 1e-4
-#: A fence lies FENCE interquartile ranges beyond the upper quartile, but at least at its floor:
-#: what no clean text reaches is never judged by how alike a group is.
+#: Fences lie FENCE spreads beyond the quartiles; a spread is the interquartile range and a little
+#: slack, so that a group whose texts are all alike tolerates small differences.
 FENCE = 3.0
-FLOORS = {"symbol_share": 0.05, "dup_line_share": 0.2, "repeat_share": 0.2, "word_length": 9.0}
+SLACK = {"symbol_share": 0.01, "dup_line_share": 0.1, "repeat_share": 0.05, "word_length": 0.1}
+#: Groups of fewer rows (that pass the base rules) are too small to judge by themselves.
+SMALL_GROUP = 20
 LOW_WORDS, HIGH_REPEAT_PERCENT = 50, 50
-COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
+COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
 
 
-def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """Words, their code points, symbols, repeated lines and words in repeated 3-word windows."""
+def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """Words, their code points, symbols, repeated lines, words in repeated 3-word windows, lines."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     n = len(words)
     chars = len(text) - sum(map(text.count, BLANKS))
     symbols = sum(map(text.count, "#*$%&|<>"))
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
-    return n, chars, symbols, len(lines) - len(set(lines)), _repeated(words)
+    return n, chars, symbols, len(lines) - len(set(lines)), _repeated(words), len(lines)
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -54,7 +58,7 @@ def _share(part: str, whole: Column) -> Column:
 
 
 def measured(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
-    """``keep``, the five counts of each whole text, and ``base_failed``."""
+    """``keep``, the counts of each whole text, and ``base_failed``."""
 
     def make():
         return text_counts
@@ -71,7 +75,7 @@ def metrics() -> dict[str, Column]:
     words = F.col("n_words")
     return {
         "symbol_share": _share("n_symbols", words),
-        "dup_line_share": _share("n_dup_lines", words),
+        "dup_line_share": _share("n_dup_lines", F.col("n_lines")),
         "repeat_share": _share("n_repeat_words", words),
         "word_length": _share("word_chars", words),
     }
@@ -94,7 +98,7 @@ def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group, the upper fence of each metric, from its sketch alone."""
+    """Per group, ``n`` (its rows) and the low and high fence of each metric, from its sketch alone."""
     group = [*keys, "metric"]
     upto = Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn(
@@ -105,14 +109,17 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     def quantile(q):
         return F.min(F.when(F.col("upto") >= q * F.col("all"), value))
 
-    low, high = quantile(0.25), quantile(0.75)
-    floor = F.coalesce(*[F.when(F.col("metric") == m, F.lit(f)) for m, f in FLOORS.items()])
+    slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(x)) for m, x in SLACK.items()])
+    spread = FENCE * (F.col("q3") - F.col("q1") + slack)
+    both = F.struct((F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
     return (
         ranked.groupBy(*group)
-        .agg((high + FENCE * (high - low)).alias("fence"))
-        .withColumn("fence", F.greatest("fence", floor))
+        .agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.max("all").alias("n"))
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("metric", "fence"))).alias("fences"))
+        .agg(
+            F.max("n").alias("n"),
+            F.map_from_entries(F.collect_list(F.struct("metric", both))).alias("fences"),
+        )
     )
 
 
@@ -120,15 +127,20 @@ def judged(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``kept`` to measured rows: they pass the base rules and stay within their group's fences.
 
     Sketches are built from the rows that pass the base rules. Null keys are a group of their own.
-    A group has one row of fences, so the join repeats nothing.
+    A group has one row of fences, so the join repeats nothing. Sketches add up, so those of all
+    groups give the fences of groups under ``SMALL_GROUP`` rows.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    found = fences(sketches(rows.filter(~F.col("base_failed")), keys), keys)
+    sketch = sketches(rows.filter(~F.col("base_failed")), keys)
+    overall = fences(sketch.groupBy("metric", "bin").agg(F.sum("n").alias("n")), [])
+    own = F.when(F.col("n") >= SMALL_GROUP, F.col("fences"))
+    found = fences(sketch, keys).withColumn("fences", F.coalesce(own, overall.select("fences").scalar()))
     found = found.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "fences")
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     within = F.lit(True)
     for name, value in metrics().items():
-        within = within & (value <= F.col("fences")[name])
+        fence = F.col("fences")[name]
+        within = within & (value >= fence["low"]) & (value <= fence["high"])
     return (
         rows.join(found, same, "left")
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
@@ -150,4 +162,5 @@ def quality_rules(
     """
     keys = ["_lang", "_source"]
     keep = [F.col(id_col), F.col(lang).alias("_lang"), F.col(source).alias("_source")]
-    return judged(measured(docs, keep, text), keys).drop(*keys)
+    # Narrow rows, written once: the texts are measured a single time.
+    return judged(checkpoint(measured(docs, keep, text)), keys).drop(*keys)

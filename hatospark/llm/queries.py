@@ -222,45 +222,53 @@ ORACLE: dict[str, str] = {
             FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM win JOIN twice USING (doc_id, k))
             GROUP BY doc_id),
         dup AS (
-            SELECT doc_id, count(*) - count(DISTINCT line) AS n
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS lines
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
             WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
         m AS (
             SELECT doc_id, lang, source, len(w) AS n_words,
                    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
                    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-                   coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+                   coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
+                   coalesce(dup.lines, 0) AS n_lines
             FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id)),
         b AS (SELECT *, n_words < 50 OR 2 * n_repeat_words > n_words AS base_failed FROM m),
         v AS (
             SELECT doc_id, lang, source, base_failed,
                    unnest(['symbols', 'lines', 'repeats', 'length']) AS metric,
-                   unnest([0.05, 0.2, 0.2, 9.0])::DOUBLE AS least,
-                   unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_words, 1),
+                   unnest([0.01, 0.1, 0.05, 0.1])::DOUBLE AS slack,
+                   unnest([n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1),
                            n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)]) AS value
             FROM b),
         bins AS (
-            SELECT lang, source, metric, least, count(*) AS n,
+            SELECT lang, source, metric, slack, count(*) AS n,
                    CASE WHEN value > 0.0001::DOUBLE
                         THEN greatest(ceil(ln(value / 0.0001::DOUBLE) / 0.01980262729617973::DOUBLE), 0) ELSE 0 END AS bin
             FROM v WHERE NOT base_failed GROUP BY ALL),
+        -- Every group, and all groups together for those under 20 documents.
+        scoped AS (
+            SELECT false AS whole, * FROM bins
+            UNION ALL SELECT true, NULL, NULL, metric, slack, n, bin FROM bins),
         ranked AS (
-            SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto,
-                   sum(n) OVER (PARTITION BY lang, source, metric) AS total,
+            SELECT *, sum(n) OVER (PARTITION BY whole, lang, source, metric ORDER BY bin) AS upto,
+                   sum(n) OVER (PARTITION BY whole, lang, source, metric) AS total,
                    CASE WHEN bin = 0 THEN 0 ELSE 0.0001::DOUBLE * pow(1.02::DOUBLE, bin - 0.5) END AS middle
-            FROM bins),
+            FROM scoped),
         quartiles AS (
-            SELECT lang, source, metric, least, min(middle) FILTER (4 * upto >= total) AS low,
+            SELECT whole, lang, source, metric, slack, total, min(middle) FILTER (4 * upto >= total) AS low,
                    min(middle) FILTER (4 * upto >= 3 * total) AS high
             FROM ranked GROUP BY ALL),
+        sizes AS (SELECT lang, source, count(*) FILTER (NOT base_failed) AS n FROM b GROUP BY ALL),
         verdict AS (
-            SELECT doc_id, bool_and(value <= greatest(high + 3 * (high - low), q.least)) AS inside
-            FROM v LEFT JOIN quartiles q ON q.metric = v.metric AND q.lang IS NOT DISTINCT FROM v.lang
-                 AND q.source IS NOT DISTINCT FROM v.source
+            SELECT doc_id, bool_and(value <= high + 3 * (high - low + q.slack)
+                                    AND value >= low - 3 * (high - low + q.slack)) AS inside
+            FROM v JOIN sizes z ON z.lang IS NOT DISTINCT FROM v.lang AND z.source IS NOT DISTINCT FROM v.source
+            LEFT JOIN quartiles q ON q.metric = v.metric AND q.whole = (z.n < 20)
+                 AND (q.whole OR (q.lang IS NOT DISTINCT FROM v.lang AND q.source IS NOT DISTINCT FROM v.source))
             GROUP BY doc_id)
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
                CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines, base_failed,
                NOT base_failed AND coalesce(inside, false) AS kept
         FROM b JOIN verdict USING (doc_id)""",
     # Words that differ by a replaced letter share what stands around it; the others lack one letter.
