@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint
-from .texts import if_small, let
+from .texts import if_small, let, packed
 
 #: Token positions that each mask selects.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -99,7 +99,9 @@ def leaks(
     found = texts.join(if_small(hits.select("version").distinct()), "version").select(
         "doc_id", "version", token_hashes("_t").alias("h")
     )
-    found = found.distinct().join(if_small(hits), "version").join(if_small(items), "item")
+    found = found.distinct().join(if_small(hits), "version").join(
+        if_small(items, F.size("ih")), "item"
+    )
     first = F.greatest(F.lit(0), -F.col("shift"))
     n = F.least(F.size("ih"), F.size("h") - F.col("shift")) - first
     # From here on a row holds what stands opposite the item, never the whole document.
@@ -132,6 +134,5 @@ def leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no window of the benchmark."""
     gone = checkpoint(leaks(docs, benchmark).select("version").distinct())
-    clean = docs.withColumn("_version", F.xxhash64("text"))
-    gone = if_small(gone.select(F.col("version").alias("_gone")))
-    return clean.join(gone, F.col("_version") == F.col("_gone"), "left_anti").drop("_version")
+    mine = F.xxhash64("row.text") == F.col("version")
+    return packed(docs).join(if_small(gone), mine, "left_anti").select("row.*")

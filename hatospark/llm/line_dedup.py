@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint, new_folder
 from .components import roots
-from .texts import BLANKS, if_small, let
+from .texts import BLANKS, if_small, let, packed
 
 THRESHOLD = 1
 #: Shorter lines are duplicates only if equal: one edit makes another word of them.
@@ -303,18 +303,19 @@ def without_repeated_lines(
         .groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
         .agg(F.collect_set("line_no").alias("_gone"))
     )
-    mine = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
-    lines = F.split("text", "\n")
+    mine = (F.col("row.doc_id") == F.col("_id")) & (F.xxhash64("row.text") == F.col("_version"))
+    text = F.col("row.text")
+    lines = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     rest = F.concat_ws("\n", F.transform(left, lambda i: F.get(lines, i)))
-    rows = docs.join(gone, mine, "left")
-    rows = rows.withColumn("_rest", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest))
+    rows = packed(docs).join(gone, mine, "left")
+    rows = rows.withColumn("_rest", F.when(F.col("_gone").isNull(), text).otherwise(rest))
     rows = rows.filter(
         F.col("_gone").isNull()
-        | ((F.btrim("_rest", F.lit(BLANKS)) != "") & (F.length("_rest") >= share * F.length("text")))
+        | ((F.btrim("_rest", F.lit(BLANKS)) != "") & (F.length("_rest") >= share * F.length(text)))
     )
-    changed = {"text": F.col("_rest")}
+    changed: dict = {"text": F.col("_rest")}
     if "n_chars" in docs.columns:
         size = F.length("_rest").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(size)
-    return rows.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("row.n_chars")).otherwise(size)
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint
-from .texts import WORD
+from .texts import WORD, packed
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -135,8 +135,9 @@ def _mixed(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target and taken; columns of these names go."""
     added = ("size", "source_size", "target", "taken")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
-    place = F.struct("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("_tie"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    source = F.col("row.source").cast("string").alias("source")
+    place = F.struct(F.col("row.doc_id"), source, F.xxhash64("row.text").alias("_tie"))
     sized = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
@@ -148,5 +149,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     found = _mixed(sized, weights, share, most).groupBy("doc_id", "source", "_tie").agg(
         *[F.max(c).alias(c) for c in added[:3]], F.floor(F.avg("taken")).alias("taken")
     )
-    found = found.select(F.struct("doc_id", "source", "_tie").alias("_place"), *added)
-    return docs.withColumn("_place", place).join(found, "_place").drop("_place")
+    found = found.select(F.struct("doc_id", "source", "_tie").alias("place"), *added)
+    return packed(docs).withColumn("place", place).join(found, "place").select("row.*", *added)

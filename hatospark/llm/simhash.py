@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint
 from .components import roots
-from .texts import map_texts
+from .texts import map_texts, packed
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a bucket that are compared with each other; larger buckets are split first.
@@ -174,11 +174,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("version").alias("_version"),
         (F.struct("doc_id", "version") != F.col("first")).alias("gone"), "n",
     ).filter("gone OR n > 1"))
-    mine = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
-    kept = docs.join(copies.select("_id", "_version"), mine, "left_anti")
+    mine = (F.col("row.doc_id") == F.col("_id")) & (F.xxhash64("row.text") == F.col("_version"))
+    kept = packed(docs).join(copies.select("_id", "_version"), mine, "left_anti").select("row.*")
     repeated = copies.filter("NOT gone")
     if repeated.isEmpty():
         return kept
-    repeated = docs.join(repeated.select("_id", "_version"), mine)
-    one = repeated.dropDuplicates(["_id", "_version"]).select(*docs.columns)
-    return kept.select(*docs.columns).union(one)
+    repeated = packed(docs).join(repeated.select("_id", "_version"), mine)
+    return kept.union(repeated.dropDuplicates(["_id", "_version"]).select("row.*"))

@@ -21,12 +21,19 @@ def held_out(doc_id) -> F.Column:
 
 
 #: Rows up to which a table of a few numbers a row is broadcast; a larger one is joined by shuffle.
+#: Rows that hold arrays count as many times as they hold numbers.
 BROADCAST_ROWS = 2_000_000
 
 
-def if_small(table: DataFrame) -> DataFrame:
-    """``table``, to be broadcast if it was counted to be small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def if_small(table: DataFrame, numbers: F.Column | None = None) -> DataFrame:
+    """``table``, to be broadcast if it was counted to be small; ``numbers``: how many a row holds."""
+    size = table.agg(F.count("*") if numbers is None else F.sum(numbers)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` as one column ``row``, so that no column of it clashes with an operator's own."""
+    return rows.select(F.struct("*").alias("row"))
 
 
 def let(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:

@@ -4,7 +4,7 @@ import pytest
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASH = "score double, kept boolean, key long, size long, target double, version long, h long, fp long, t string, _text string, least long, lo long"
+CLASH = "score double, kept boolean, key long, size long, target double, version long, h long, fp long, t string, _text string, least long, lo long, _id long, _version long, _gone long, _place long, _rest string, _row long, row string, place long, gone boolean, first long, n long, _tie long, item long, seed long"
 
 
 def words(rng, n):

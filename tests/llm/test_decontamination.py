@@ -84,6 +84,7 @@ def test_odd_rows(odd_documents, no_documents, rows):
     assert got == {(1, 1), (2, 1), (None, 1), (6, None)}
     assert D.leaks(no_documents, bench).count() == 0
     assert D.leaks(odd_documents, bench.limit(0)).count() == 0
+    assert D.without_leaks(no_documents, bench).count() == 0
     kept = D.without_leaks(odd_documents, bench)
     assert kept.columns == odd_documents.columns
     assert kept.count() == odd_documents.count() - 5
