@@ -230,38 +230,45 @@ def delete_rows(source: Source, table: str, keys: DataFrame) -> dict[str, DataFr
 
     Returns the rewritten tables, and under ``bloqueados`` the keys that stay
     because a restricting reference holds them (directly or below a cascade).
+    The closure over the references is one relation (table, key), written once, level by level
+    (there are as many levels as tables in a row that cascade); every output joins it.
     """
     key = TABLES[table].key
     roots = (
         source(table)
         .join(keys.select(F.col(keys.columns[0]).alias(key)).distinct(), key, "left_semi")
-        .select(F.col(key).alias("victim"), F.col(key).alias("root"))
+        .select(F.lit(table).alias("tabla"), F.col(key).alias("victim"), F.col(key).alias("root"))
     )
-    victims: dict[str, list[DataFrame]] = {table: [roots]}
-    holders: list[DataFrame] = []
-    pending = [(table, roots)]
-    while pending:
-        parent, gone = pending.pop()
-        for child, column in children_of(parent):
-            if column.on_delete not in (RESTRICT, CASCADE):
-                continue
-            rows = source(child.name).select(
-                F.col(child.key).alias("child"), F.col(column.name).alias("victim")
-            )
-            if column.on_delete == RESTRICT:
-                held = rows.select("victim").distinct()
-                holders.append(gone.join(held, "victim", "left_semi").select("root"))
-            else:
-                below = rows.join(gone, "victim").select(F.col("child").alias("victim"), "root")
-                victims.setdefault(child.name, []).append(below)
-                pending.append((child.name, below))
-    blocked = _union(holders).distinct() if holders else roots.select("root").limit(0)
-
-    def gone_from(name: str) -> DataFrame:
-        free = _union(victims[name]).join(blocked, "root", "left_anti")
-        return free.select(F.col("victim").alias("gone")).distinct()
-
-    deleted = {name: gone_from(name) for name in victims}
+    level, written, victims = [table], [checkpoint(roots)], {table}
+    while level:
+        # One narrow relation per level of references: rows that go with a root, and roots that are held.
+        frames, below = [], []
+        for parent in level:
+            gone = written[-1].filter(F.col("tabla") == parent).drop("tabla")
+            for child, column in children_of(parent):
+                if column.on_delete not in (RESTRICT, CASCADE):
+                    continue
+                rows = source(child.name).select(
+                    F.col(child.key).alias("child"), F.col(column.name).alias("victim")
+                )
+                if column.on_delete == RESTRICT:
+                    held = gone.join(rows.select("victim").distinct(), "victim", "left_semi")
+                    frames.append(held.selectExpr("CAST(NULL AS STRING) AS tabla", "CAST(NULL AS BIGINT) AS victim", "root"))
+                else:
+                    found = rows.join(gone, "victim").select("child", "root")
+                    frames.append(found.selectExpr(f"'{child.name}' AS tabla", "CAST(child AS BIGINT) AS victim", "root"))
+                    below.append(child.name)
+        if frames:
+            written.append(checkpoint(_union(frames).distinct()))
+        level = list(dict.fromkeys(below))
+        victims.update(level)
+    closed = _union([w.select("tabla", F.col("victim").cast("bigint"), "root") for w in written])
+    blocked = checkpoint(closed.filter("tabla IS NULL").select("root").distinct())
+    free = checkpoint(
+        closed.filter("tabla IS NOT NULL").join(blocked, "root", "left_anti")
+        .select("tabla", F.col("victim").alias("gone")).distinct()
+    )
+    deleted = {name: free.filter(F.col("tabla") == name).select("gone") for name in victims}
     out = {"bloqueados": blocked.select(F.col("root").alias(key))}
     nulled: dict[str, list] = {}
     for parent in victims:
