@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpoint
+from ..functions.components import least_of_component
 from ..functions.ids import assign_ids, last_id
 from ..functions.sequence import total_before
 from ..functions.text import loose
@@ -109,11 +110,57 @@ def resolver_causas(causa: DataFrame, pedidos: DataFrame) -> dict[str, DataFrame
 # -- animals ---------------------------------------------------------------------------
 
 
+#: Requests of a component that one ordered fold decides; of larger ones, the earliest that many at a time.
+FOLDED = 8192
+
+
+def _fold(rows: Column, keys: list[str]) -> Column:
+    """The positions (from 1) in ``rows``, sorted by seq, of the requests that get all their keys."""
+    none = [F.array().cast("array<string>").alias(k) for k in keys]
+    empty = F.struct(*none, F.array().cast("array<int>").alias("won"))
+
+    def step(held, i):
+        row = F.get(rows, i - 1)
+        free = ~F.array_contains(held[keys[0]], row[keys[0]])
+        for k in keys[1:]:
+            free = free & ~F.array_contains(held[k], row[k])
+        grown = [F.array_append(held[k], row[k]).alias(k) for k in keys]
+        return F.when(free, F.struct(*grown, F.array_append(held["won"], i).alias("won"))).otherwise(held)
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(rows)), empty, step, lambda held: held["won"])
+
+
+def _first_claimants(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """The requests that come first for all of their keys."""
+    first = open_
+    for k in keys:
+        least = open_.groupBy(k).agg(F.min("seq").alias(f"_{k}"))
+        first = first.join(least, k).filter(F.col("seq") == F.col(f"_{k}"))
+    return first.select("seq", *keys)
+
+
+def _folded(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """Accepted requests of whole small components, and of the earliest ones of each large component.
+
+    The earliest requests of a component do not depend on later ones, so a part of it can be decided.
+    """
+    node = [F.xxhash64(F.lit(i), F.col(k)) for i, k in enumerate(keys)]
+    nodes = open_.select(node[0].alias("a"), F.explode(F.array(*node)).alias("b"))
+    root = least_of_component(nodes).withColumnRenamed("node", "_node")
+    named = open_.withColumn("_node", node[0]).join(root, "_node").drop("_node")
+    early = total_before(named, "seq", F.lit(1), "_place", ("root",)).filter(F.col("_place") < FOLDED)
+    listed = early.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("seq", *keys))).alias("_rows"))
+    won = listed.select("_rows", F.explode(_fold(F.col("_rows"), keys)).alias("_i"))
+    return won.select(F.get("_rows", F.col("_i") - 1).alias("r")).select("r.*")
+
+
 def clashes(requests: DataFrame, keys: list[str]) -> DataFrame | None:
     """``seq`` of the requests that claim a unique key an earlier accepted one holds.
 
-    Only requests that share a key with another are looked at.  They are settled
-    in rounds: the first claimant of all its keys wins, those it beats are out.
+    Only requests that share a key with another are looked at.  In each round the first claimant of all its
+    keys wins and those it beats are out, which settles keys that very many claim.  What is left
+    falls into connected components, decided by one ordered fold each; of a component of more than ``FOLDED``
+    requests a round decides the earliest ``FOLDED``, so a component of n takes at most n / ``FOLDED`` rounds.
     None where no key is claimed twice.
     """
     claims = requests.select("seq", *keys)
@@ -124,16 +171,15 @@ def clashes(requests: DataFrame, keys: list[str]) -> DataFrame | None:
     open_ = checkpoint(reduce(DataFrame.unionByName, shared).dropDuplicates(["seq"]))
     lost = []
     while not open_.isEmpty():
-        first = open_
-        for k in keys:
-            least = open_.groupBy(k).agg(F.min("seq").alias(f"_{k}"))
-            first = first.join(least, k).filter(F.col("seq") == F.col(f"_{k}"))
-        first = checkpoint(first.select("seq", *keys))
-        rest = open_.join(first.select("seq"), "seq", "left_anti")
-        beaten = [rest.join(first.select(k), k, "left_semi").select("seq") for k in keys]
-        out = checkpoint(reduce(DataFrame.union, beaten).distinct())
-        lost.append(out)
-        open_ = checkpoint(rest.join(out, "seq", "left_anti"))
+        for accept in (_first_claimants, _folded):
+            won = checkpoint(accept(open_, keys))
+            rest = open_.join(won.select("seq"), "seq", "left_anti")
+            beaten = [rest.join(won.select(k), k, "left_semi").select("seq") for k in keys]
+            out = checkpoint(reduce(DataFrame.union, beaten).distinct())
+            lost.append(out)
+            open_ = checkpoint(rest.join(out, "seq", "left_anti"))
+            if open_.isEmpty():
+                break
     return reduce(DataFrame.union, lost) if lost else None
 
 

@@ -4,6 +4,8 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import pytest
+
 from hatospark.operators import commands as P
 
 D = dt.date
@@ -36,6 +38,40 @@ def test_clashes_follow_request_order(rows):
     assert P.clashes(rows("seq long, a string, b string", [(1, "x", "y"), (2, "z", "w")]), ["a", "b"]) is None
 
 
+def _greedy(data):
+    """Brute force: requests in order, each one gets its keys if both are free."""
+    held, lost = set(), []
+    for seq, a, b in sorted(data):
+        if ("a", a) in held or ("b", b) in held:
+            lost.append(seq)
+        else:
+            held |= {("a", a), ("b", b)}
+    return lost
+
+
+def _lost(rows, data):
+    found = P.clashes(rows("seq long, a string, b string", data), ["a", "b"])
+    return [] if found is None else sorted(r.seq for r in found.collect())
+
+
+@pytest.mark.parametrize("folded", [3, 8192])
+def test_clashes_against_brute_force(rows, monkeypatch, folded):
+    """Few keys for many requests, a key that a third of them claim; large components go in parts."""
+    monkeypatch.setattr(P, "FOLDED", folded)
+    rng = random.Random(folded)
+    seqs = rng.sample(range(10**6), 60)
+    data = [(s, "hot" if rng.random() < 0.3 else f"a{rng.randrange(25)}", f"b{rng.randrange(30)}") for s in seqs]
+    assert _lost(rows, data) == _greedy(data)
+
+
+def test_chain_of_ten_thousand_claims(rows, monkeypatch):
+    """Each request shares one key with the one before: every second one loses, in few written steps."""
+    written, checkpoint = [], P.checkpoint
+    monkeypatch.setattr(P, "checkpoint", lambda df: written.append(1) or checkpoint(df))
+    data = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(10_000)]
+    assert _lost(rows, data) == list(range(1, 10_000, 2)) == _greedy(data)
+    assert len(written) <= 13
+
 def test_period_totals_match_brute_force(rows):
     rng = random.Random(1)
     start = D(2019, 12, 20)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hatospark.functions.checkpoints import shared_folder
+from hatospark.functions.components import least_of_component
 from hatospark.functions.ids import assign_ids
 from hatospark.functions.joins import left_join_many
 from hatospark.functions.outputs import write_outputs
@@ -82,3 +83,20 @@ def test_outputs_are_written_once_and_read_back(rows, tmp_path):
     assert out["a"].collect() == [(1,)] and out["b"].columns == ["y"] and out["b"].count() == 0
     with pytest.raises(Exception, match="already exists"):
         write_outputs({"a": rows("x int", [(2,)])}, str(tmp_path / "job"))
+
+
+def test_components_against_brute_force(rows):
+    """Chains, stars, links to oneself and repeated links."""
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    links += [(1000 + i, 1001 + i) for i in range(500)] + [(2000, 2001 + i) for i in range(50)] + [(9000, 9000)]
+    root = {n: n for link in links for n in link}
+    while True:
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    found = least_of_component(rows("a long, b long", links + links[:20])).collect()
+    assert len(found) == len(root) and {r.node: r.root for r in found} == root
+    assert least_of_component(rows("a long, b long")).count() == 0
