@@ -5,9 +5,11 @@ The oracle lists one SELECT per rule of the model; Spark reads each table once.
 
 from __future__ import annotations
 
+from ..functions.checkpoints import new_folder
 from ..model.columns import RESTRICT
 from ..model.tables import TABLES, foreign_keys
 from ..operators import quality as Q
+from ..operators.intake import take_in
 from ..sources.derived import delivered_columns
 from .settings import AS_OF, RUN_TS
 
@@ -68,6 +70,20 @@ ANIMAL_CHILDREN = {
 }
 
 
+#: Tables whose rows get defaults or stored columns when they come in.
+TAKEN_IN = sorted({*GENERATED, *DEFAULTED})
+
+
+def _taken_in(t):
+    """The broken rules of the tables taken in, as the write counts them: a row per table and rule."""
+    found = []
+    for name in TAKEN_IN:
+        rows = t.intake(name).select(*delivered_columns(name))
+        total, broken = take_in(rows, TABLES[name], AS_OF, RUN_TS, new_folder(t.spark, f"in-{name}"))
+        found += [(name, kind, rule, total, n) for (kind, rule), n in broken.items() if n]
+    return t.spark.createDataFrame(found, "tabla string, clase string, nombre string, filas long, rotas long")
+
+
 def _pick(df, columns):
     return df.select(*(c.strip() for c in columns.split(",")))
 
@@ -87,6 +103,7 @@ for _name, _cols in DEFAULTED.items():
     QUERIES[f"valores_defecto__{_name}"] = lambda t, n=_name, c=_cols: _pick(
         Q.fill_defaults(t.narrow(n), TABLES[n], AS_OF, RUN_TS), c
     )
+QUERIES["ingesta_reglas"] = _taken_in
 QUERIES["borrado_en_cascada__bloqueados"] = lambda t: t.once(_deleted, "tbl_animal")["bloqueados"]
 for _name, _cols in ANIMAL_CHILDREN.items():
     QUERIES[f"borrado_en_cascada__{_name}"] = lambda t, n=_name, c=_cols: _pick(
@@ -189,6 +206,21 @@ def _nulls_sql():
     return _union(parts)
 
 
+def _taken_in_sql():
+    """The separate rule queries, counted."""
+    names = "(" + ", ".join(f"'{n}'" for n in TAKEN_IN) + ")"
+    sizes = _union(f"SELECT '{n}' AS tabla, count(*) AS filas FROM in_{n}" for n in TAKEN_IN)
+    broken = _union([
+        f"SELECT tabla, 'regla' AS clase, regla AS nombre FROM ({_checks_sql()}) a",
+        f"SELECT tabla, 'dominio', columna FROM ({_domain_sql()}) b",
+        f"SELECT tabla, problema, columna FROM ({_nulls_sql()}) c",
+    ])
+    return (
+        f"SELECT tabla, clase, nombre, any_value(filas) AS filas, count(*) AS rotas FROM ({broken}) x "
+        f"JOIN ({sizes}) y USING (tabla) WHERE tabla IN {names} GROUP BY tabla, clase, nombre"
+    )
+
+
 def _restricted(parent, alias, update=False):
     return [
         f"EXISTS (SELECT 1 FROM in_{t.name} r WHERE r.{c.name} = {alias})"
@@ -229,6 +261,7 @@ def _moved(column):
 
 
 ORACLE = {
+    "ingesta_reglas": _taken_in_sql(),
     "fk_huerfanos": _fk_sql(),
     "claves_duplicadas": _duplicates_sql(),
     "checks_fila": _checks_sql(),
