@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import checkpoint
+from ..functions.checkpoints import checkpoint, new_folder
 from ..functions.ids import assign_ids
 from ..functions.sequence import previous_value
 from .changes import set_cow_state
@@ -70,6 +70,7 @@ _COMMAND = {
     "id_veterinario": "bigint",
 }
 _ON = "seq > entra{p} AND (x{p} IS NULL OR seq < x{p}.seq)"
+_NO_CYCLE = "ciclo inexistente"
 
 
 def _add(df: DataFrame, **columns: str) -> DataFrame:
@@ -83,10 +84,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 class _Replay:
     """The state of one batch run: the cycles as they go through the phases."""
 
-    def __init__(self, ciclo: DataFrame, orders: dict[str, DataFrame], colaborador: DataFrame, as_of: str):
+    def __init__(
+        self, ciclo: DataFrame, orders: dict[str, DataFrame] | DataFrame, colaborador: DataFrame, as_of: str
+    ):
         self.today = f"DATE '{as_of}'"
         self.columns = ciclo.columns
-        self.orders = {name: self._command(name, df, colaborador) for name, df in orders.items()}
+        if isinstance(orders, DataFrame):
+            every = self._command("orden", orders.filter(F.col("orden").isin(*NEEDS)), colaborador)
+            self.orders = {name: every.filter(F.col("orden") == name) for name in NEEDS}
+        else:
+            self.orders = {
+                name: self._command(f"'{name}' AS orden", df, colaborador) for name, df in orders.items()
+            }
+            every = _union(list(self.orders.values())) if self.orders else None
+        self.every, self.hopeless = every, None
         self.audits: list[DataFrame] = []
         start = "CASE WHEN estado_ciclo = '{}' THEN -1L END"
         self.cycles = _add(
@@ -102,7 +113,7 @@ class _Replay:
     def _command(name: str, df: DataFrame, colaborador: DataFrame) -> DataFrame:
         have = set(df.columns)
         df = df.selectExpr(
-            f"'{name}' AS orden",
+            name,
             *(f"CAST({c if c in have else 'NULL'} AS {type_}) AS {c}" for c, type_ in _COMMAND.items()),
         )
         return mark_missing(df, "id_veterinario", colaborador, "id_colaborador", "sin_vet")
@@ -165,17 +176,68 @@ class _Replay:
         """Run the phases in order.
 
         A phase reads the cycles several times, so its plan must not hold the
-        plan of the phase before: the cycles are written out in between.
+        plan of the phase before: the cycles are written out in between.  Cycles
+        that ended before the batch join in the last phase, empty ones in none.
         """
         busy = {PHASE[name] for name in self.orders}
+        ended = idle = None
+        if len(busy) > 1:
+            self.sort_out()
+            none = "entra0 IS NULL AND entra1 IS NULL AND entra2 IS NULL"
+            ended = self.cycles.filter(f"{none} AND entra3 IS NOT NULL")
+            idle = self.cycles.filter(f"{none} AND entra3 IS NULL")
+            self.cycles = self.cycles.filter(f"NOT ({none})")
         played = 0
         for number, phase in enumerate((self.service, self.first_check, self.second_check, self.birth)):
             if number in busy and played:
                 self.cycles = checkpoint(self.cycles)
+            if number == PHASE["editar_parto"] and ended is not None:
+                self.cycles = self.cycles.unionByName(ended, allowMissingColumns=True)
             phase()
             played += number in busy
         if played > 1:
             self.cycles = checkpoint(self.cycles)
+        # What can change; ``cycles`` also holds the rest, as the table has it.
+        self.moved = self.cycles
+        if idle is not None:
+            self.cycles = self.cycles.unionByName(idle, allowMissingColumns=True)
+
+    def sort_out(self) -> None:
+        """Write the commands that may take effect once, for all phases; ``hopeless`` are the others.
+
+        A cycle only moves forward, so a command whose phase lies before the one its cycle is in at the
+        start of the batch is refused whatever the others do; so is one on an empty cycle or on none.
+        """
+        begins = F.expr(
+            "CASE WHEN entra0 IS NOT NULL THEN 0 WHEN entra1 IS NOT NULL THEN 1 "
+            "WHEN entra2 IS NOT NULL THEN 2 WHEN entra3 IS NOT NULL THEN 3 END"
+        )
+        # An id may stand in several rows: a command is refused once for each of them.
+        known = self.cycles.groupBy("id_ciclo").agg(
+            F.min(begins).alias("_desde"), F.count("*").alias("_copias")
+        )
+        phases = " ".join(f"WHEN '{name}' THEN {p}" for name, p in PHASE.items())
+        needs = " ".join(f"WHEN '{name}' THEN '{text}'" for name, text in NEEDS.items())
+        may = f"_desde <= CASE orden {phases} END"
+        every, folder = self.every, new_folder(self.every.sparkSession, "commands")
+        # The cycles are hashed: few numbers each, where sorting would take all commands.
+        reached = known.filter("_desde IS NOT NULL").drop("_copias").hint("shuffle_hash")
+        every.join(reached, "id_ciclo").filter(may).drop("_desde").write.partitionBy("orden").parquet(folder)
+        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in every.schema.fields)
+        self.every = every.sparkSession.read.schema(types).parquet(folder)
+        self.orders = {name: self.every.filter(F.col("orden") == name) for name in self.orders}
+        self.hopeless = (
+            every.select("seq", "orden", "id_ciclo")
+            .join(known.hint("shuffle_hash"), "id_ciclo", "left")
+            .filter(f"NOT coalesce({may}, false)")
+            .selectExpr(
+                "seq",
+                "orden",
+                f"if(_copias IS NULL, '{_NO_CYCLE}', CASE orden {needs} END) AS motivo",
+                "explode(array_repeat(0, CAST(coalesce(_copias, 1) AS INT))) AS _copia",
+            )
+            .drop("_copia")
+        )
 
     def service(self) -> None:
         valid = f"fecha <= {self.today} AND tipo_evento IN ('Monta Natural', 'Inseminación Artificial') AND NOT sin_vet"
@@ -412,24 +474,27 @@ class _Replay:
             f"THEN '{BAD_BIRTH}' {vet} WHEN fecha < fecha_inicio THEN {chk}",
             "editar_parto": f"WHEN fecha < fecha_palpacion2 OR fecha > {today} THEN '{BAD_DATE_3}'",
         }
-        frames = []
-        for name, df in self.orders.items():
+        reasons = []
+        for name in self.orders:
             p = PHASE[name]
             inside = f"seq > entra{p}" + (f" AND (x{p} IS NULL OR seq <= x{p}.seq)" if p < 3 else "")
+            reasons.append(
+                f"WHEN orden = '{name}' THEN CASE WHEN NOT coalesce({inside}, false) THEN '{NEEDS[name]}' "
+                f"{tests[name]} END"
+            )
+        frames = [
+            self.every.join(cycles, "id_ciclo", "left")
+            .selectExpr(
+                "seq", "orden", f"CASE WHEN existe IS NULL THEN '{_NO_CYCLE}' {' '.join(reasons)} END AS motivo"
+            )
+            .filter("motivo IS NOT NULL")
+        ]
+        if self.hopeless is not None:
+            frames.append(self.hopeless)
+        if "editar_parto" in self.orders:
             frames.append(
-                df.join(cycles, "id_ciclo", "left")
-                .selectExpr(
-                    "seq",
-                    "orden",
-                    f"CASE WHEN existe IS NULL THEN 'ciclo inexistente' "
-                    f"WHEN NOT coalesce({inside}, false) THEN '{NEEDS[name]}' {tests[name]} END AS motivo",
-                )
-                .filter("motivo IS NOT NULL")
+                self.undated.selectExpr("seq", "'editar_parto' AS orden", "'fecha de parto ausente' AS motivo")
             )
-            if name == "editar_parto":
-                frames.append(
-                    self.undated.selectExpr("seq", f"'{name}' AS orden", "'fecha de parto ausente' AS motivo")
-                )
         return _union(frames)
 
     def new_alerts(self) -> DataFrame:
@@ -451,7 +516,7 @@ class _Replay:
             f"{state} AS estado_alerta), NULL)"
             for seq, kind, day, state, when in entries
         )
-        made = self.cycles.selectExpr(
+        made = self.moved.selectExpr(
             "CAST(id_ciclo AS BIGINT) AS id_ciclo",
             "CAST(id_animal AS BIGINT) AS id_animal",
             f"inline(filter(array({structs}), a -> a IS NOT NULL))",
@@ -507,7 +572,7 @@ class _Replay:
             )
         )
         return (
-            self.cycles.selectExpr("id_animal", f"inline(filter(array({changes}), c -> c IS NOT NULL))")
+            self.moved.selectExpr("id_animal", f"inline(filter(array({changes}), c -> c IS NOT NULL))")
             .groupBy("id_animal")
             .agg(F.max_by("_vaca", "seq").alias("_vaca"))
         )
@@ -518,21 +583,22 @@ def reproducir_ciclos(
     alertas: DataFrame,
     vaca: DataFrame,
     colaborador: DataFrame,
-    ordenes: dict[str, DataFrame],
+    ordenes: dict[str, DataFrame] | DataFrame,
     as_of: str,
     inicios: DataFrame | None = None,
     animal: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Replay a batch of commands on existing cycles, and starts of new ones.
 
-    ``ordenes`` maps a command of ``NEEDS`` to its requests; ``inicios`` holds the
-    requests for new cycles.  ``seq`` is unique over all of them.
+    ``ordenes`` maps a command of ``NEEDS`` to its requests, or holds the requests of all seven with the
+    command in a column ``orden``, others being left out; ``inicios`` holds the requests for new cycles.
+    ``seq`` is unique over all of them.
     """
     run = _Replay(ciclo, ordenes, colaborador, as_of)
     run.play()
     cycles = run.cycles.select(run.columns)
     created = run.new_alerts()
-    rejected = [run.rejected()] if ordenes else []
+    rejected = [run.rejected()] if run.orders else []
     if inicios is not None:
         started, refused = _start(run.cycles, ciclo, inicios, animal, colaborador)
         cycles = cycles.unionByName(started.drop("seq"), allowMissingColumns=True).select(run.columns)

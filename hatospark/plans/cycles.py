@@ -86,7 +86,7 @@ def _batch(t):
         _alerts(t),
         t["tbl_vaca_detalle"],
         t["tbl_colaborador"],
-        {name: orders.filter(f"orden = '{name}'") for name in C.NEEDS},
+        orders,
         AS_OF,
         inicios=orders.filter("orden = 'iniciar_ciclo'").selectExpr(
             "seq", "id_animal", "fecha AS fecha_inicio", "tipo_evento", "id_veterinario"

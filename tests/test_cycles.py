@@ -240,3 +240,34 @@ def test_replay_matches_a_sequential_run(rows):
         for r in got["tbl_vaca_detalle"].collect():
             assert r.estado_reproductivo == ("Seca" if r.id_animal == 8 else want_cow.get(r.id_animal, "Seca"))
         assert len(want_refused) < len(orders) and want_audits and len(want_cycles) > 25
+
+
+def test_a_batch_is_read_once_for_all_phases(rows, tmp_path):
+    cycles, alerts, orders = make(5)
+    fields = "seq long, id_ciclo long, id_usuario long, fecha date, resultado string, tipo_evento string, id_veterinario long"
+    names = [f.split()[0] for f in fields.split(", ")]
+    requests = rows(f"{fields}, orden string", [tuple(o[c] for c in [*names, "orden"]) for o in orders])
+    requests.write.parquet(str(tmp_path / "lote"))
+    requests = requests.sparkSession.read.parquet(str(tmp_path / "lote"))
+    repeated = max(cycles, key=lambda c: (c["estado_ciclo"] == "Vacía", c["id_ciclo"]))
+    cycle_rows = rows(SCHEMA, [tuple(c[k] for k in CYCLE) for c in [*cycles, repeated]])
+    rest = (
+        rows("id_alerta long, id_ciclo long, id_animal long, tipo_alerta string, fecha_programada date, estado_alerta string",
+             [tuple(a) for a in alerts]),
+        rows("id_vaca_detalle long, id_animal long, estado_reproductivo string, es_vigente boolean",
+             [(i, i, "Seca", True) for i in range(1, 9)]),
+        rows("id_colaborador long", [(1,), (2,)]),
+    )
+    by_name = {n: requests.filter(f"orden = '{n}'") for n in NEEDS}
+    got, same = (reproducir_ciclos(cycle_rows, *rest, o, TODAY.isoformat()) for o in (by_name, requests))
+    for name in got:
+        assert sorted(map(str, got[name].collect())) == sorted(map(str, same[name].collect()))
+    for name in ("tbl_ciclo_reproductivo", "tbl_vaca_detalle", "tbl_auditoria_ciclo"):
+        assert not [f for f in got[name].inputFiles() if "/lote/" in f]
+    # Refused once for each row of the cycle, and once where there is none.
+    seqs = [r.seq for r in got["rechazadas"].collect()]
+    for o in orders:
+        if o["orden"] in NEEDS and o["id_ciclo"] == repeated["id_ciclo"]:
+            assert seqs.count(o["seq"]) == 2
+        elif o["orden"] in NEEDS:
+            assert seqs.count(o["seq"]) <= 1
