@@ -177,12 +177,14 @@ class _Replay:
 
         A phase reads the cycles several times, so its plan must not hold the
         plan of the phase before: the cycles are written out in between.  Cycles
-        that ended before the batch join in the last phase, empty ones in none.
+        that ended before the batch join in the last phase, empty ones in none,
+        unless an id stands in rows of several states: then all rows take part.
         """
         busy = {PHASE[name] for name in self.orders}
         ended = idle = None
         if len(busy) > 1:
-            self.sort_out()
+            alike = self.sort_out()
+        if len(busy) > 1 and alike:
             none = "entra0 IS NULL AND entra1 IS NULL AND entra2 IS NULL"
             ended = self.cycles.filter(f"{none} AND entra3 IS NOT NULL")
             idle = self.cycles.filter(f"{none} AND entra3 IS NULL")
@@ -202,9 +204,11 @@ class _Replay:
         if idle is not None:
             self.cycles = self.cycles.unionByName(idle, allowMissingColumns=True)
 
-    def sort_out(self) -> None:
+    def sort_out(self) -> bool:
         """Write the commands that may take effect once, for all phases; ``hopeless`` are the others.
 
+        True if the rows of each id, where it stands in several, begin in the same phase.
+
         A cycle only moves forward, so a command whose phase lies before the one its cycle is in at the
         start of the batch is refused whatever the others do; so is one on an empty cycle or on none.
         """
@@ -214,8 +218,12 @@ class _Replay:
         )
         # An id may stand in several rows: a command is refused once for each of them.
         known = self.cycles.groupBy("id_ciclo").agg(
-            F.min(begins).alias("_desde"), F.count("*").alias("_copias")
+            F.min(begins).alias("_desde"),
+            F.count("*").alias("_copias"),
+            (F.count(begins).between(1, F.count("*") - 1) | (F.min(begins) < F.max(begins))).alias("_mezcla"),
         )
+        mixed = known.filter("id_ciclo IS NOT NULL AND _mezcla")
+        known = known.drop("_mezcla")
         phases = " ".join(f"WHEN '{name}' THEN {p}" for name, p in PHASE.items())
         needs = " ".join(f"WHEN '{name}' THEN '{text}'" for name, text in NEEDS.items())
         may = f"_desde <= CASE orden {phases} END"
@@ -238,6 +246,7 @@ class _Replay:
             )
             .drop("_copia")
         )
+        return mixed.isEmpty()
 
     def service(self) -> None:
         valid = f"fecha <= {self.today} AND tipo_evento IN ('Monta Natural', 'Inseminación Artificial') AND NOT sin_vet"

@@ -271,3 +271,26 @@ def test_a_batch_is_read_once_for_all_phases(rows, tmp_path):
             assert seqs.count(o["seq"]) == 2
         elif o["orden"] in NEEDS:
             assert seqs.count(o["seq"]) <= 1
+
+
+def test_an_id_in_rows_of_several_states_takes_part_in_full(rows):
+    cycles, _, _ = make(5)
+    first = next(c for c in cycles if c["estado_ciclo"] == "Pendiente Palpación 1")
+    both = [first, {**first, "estado_ciclo": "Vacía"}]
+    fields = "seq long, id_ciclo long, fecha date, resultado string, tipo_evento string, id_veterinario long"
+    edit = (1, first["id_ciclo"], first["fecha_inicio"] + 3 * DAY, None, first["tipo_evento"], 1)
+    elsewhere = (2, 999, first["fecha_inicio"], "Exitoso", None, 1)
+    orders = {"editar_servicio": rows(fields, [edit]), "editar_parto": rows(fields, [elsewhere])}
+    found = []
+    for names in (["editar_servicio"], [*orders]):
+        got = reproducir_ciclos(
+            rows(SCHEMA, [tuple(c[k] for k in CYCLE) for c in both]),
+            rows("id_alerta long, id_ciclo long, id_animal long, tipo_alerta string, fecha_programada date, estado_alerta string", []),
+            rows("id_vaca_detalle long, id_animal long, estado_reproductivo string, es_vigente boolean", []),
+            rows("id_colaborador long", [(1,)]),
+            {n: orders[n] for n in names},
+            TODAY.isoformat(),
+        )
+        found.append([sorted(map(str, got[n].collect())) for n in ("tbl_auditoria_ciclo", "tbl_ciclo_reproductivo")])
+        assert {r.fecha_inicio for r in got["tbl_ciclo_reproductivo"].collect()} == {edit[2]}
+    assert found[0] == found[1]
