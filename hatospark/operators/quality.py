@@ -19,6 +19,9 @@ from ..model.tables import TABLES, children_of
 
 Source = Callable[[str], DataFrame]
 
+#: Up to 200 shares a task writes its rows straight to the shares' files; for more it sorts them in memory first.
+MOST_SHARES = 200
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -116,11 +119,15 @@ def _as_text(table: Table, column: str, number: str) -> str:
     return f"CAST({value} AS STRING)"
 
 
-def duplicate_keys(source: Source, columns_of: Callable[[str], list[str]]) -> DataFrame:
+def duplicate_keys(
+    source: Source, columns_of: Callable[[str], list[str]], shares: int = MOST_SHARES
+) -> DataFrame:
     """Primary and unique keys held by more than one row; a NULL never collides.
 
     Keys of numbers and days are counted as numbers, keys with text by the
     collation of the model; ``clave`` then shows the smallest spelling.
+    Nearly all keys are held once, so counting them where they are read would keep them all in memory
+    for nothing: numbers are dealt into ``shares`` by key, uncounted, and each share is counted whole.
     """
     plain, textual, rules, shown = [], [], [], []
     for table in TABLES.values():
@@ -144,6 +151,7 @@ def duplicate_keys(source: Source, columns_of: Callable[[str], list[str]]) -> Da
             textual.append(_entries(source, table, texts, "clave IS NOT NULL"))
     by_value = (
         _union(plain)
+        .repartition(shares, "regla", "k1", "k2")
         .groupBy("regla", "k1", "k2")
         .agg(F.count("*").alias("filas"))
         .filter("filas > 1")

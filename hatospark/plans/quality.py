@@ -18,6 +18,20 @@ def _intake(t):
     return t.intake
 
 
+#: Rows of the source files for one share of keys: they bring three to four keys each.
+ROWS_A_SHARE = 250_000
+
+
+def _shares(rows: int, least: int) -> int:
+    """As many shares as the rows ask for, ``least`` or more where that many can be written unsorted."""
+    return min(max(rows // ROWS_A_SHARE, least), Q.MOST_SHARES)
+
+
+def _duplicates(t):
+    shares = _shares(t.base_rows(), t.spark.sparkContext.defaultParallelism)
+    return Q.duplicate_keys(_intake(t), delivered_columns, shares)
+
+
 # Keys deleted and renamed by the D08 / D09 runs.
 def _some_animals(t):
     return t.intake("tbl_animal").filter("id_animal % 97 = 0").select("id_animal")
@@ -90,7 +104,7 @@ def _pick(df, columns):
 
 QUERIES = {
     "fk_huerfanos": lambda t: Q.orphans(_intake(t), delivered_columns),
-    "claves_duplicadas": lambda t: Q.duplicate_keys(_intake(t), delivered_columns),
+    "claves_duplicadas": _duplicates,
     "checks_fila": lambda t: Q.broken_checks(_intake(t), delivered_columns),
     "dominios_enum": lambda t: Q.outside_domain(_intake(t), delivered_columns),
     "nulos_y_longitud": lambda t: Q.nulls_and_lengths(_intake(t), delivered_columns),

@@ -1,9 +1,12 @@
-"""Key renames and cascading deletes."""
+"""Duplicate keys, key renames and cascading deletes."""
 
 import random
+from collections import Counter
+from datetime import date
 
 from hatospark.model.tables import TABLES
 from hatospark.operators import quality as Q
+from hatospark.plans.quality import _shares
 
 
 def _source(spark, pens):
@@ -100,3 +103,56 @@ def test_cascade_closes_over_two_levels(spark, rows):
     # The closure is written, so an output joins its table with it once.
     plan = out["tbl_toro_inseminacion"]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def _duplicates(spark, data, shares):
+    given = {name: list(rows[0]) for name, rows in data.items()}
+    return Q.duplicate_keys(_filled(spark, data), lambda table: given.get(table, []), shares)
+
+
+def test_duplicate_keys(spark):
+    data = {
+        # Key 7 three times, null never; the pair (3, day) twice; a name by the collation.
+        "tbl_produccion_leche": [
+            {"id_produccion": k, "id_animal": a, "fecha_ordeno": d and date(2020, 1, d)}
+            for k, a, d in [(7, 3, 1), (7, 3, 1), (7, 3, 2), (None, 3, None), (None, None, 2), (8, None, 2)]
+        ],
+        "tbl_registro_sanitario_animal": [
+            {"id_detalle": i % 1000, "id_registro_san": i % 1000 // 3, "id_animal": i % 3} for i in range(2000)
+        ],
+        "tbl_rol": [{"id_rol": 1, "nombre_rol": "Peón"}, {"id_rol": 2, "nombre_rol": "peon "}],
+    }
+    expected = {
+        ("tbl_produccion_leche", "id_produccion", "7", 3),
+        ("tbl_produccion_leche", "id_animal+fecha_ordeno", "3|2020-01-01", 2),
+        ("tbl_rol", "nombre_rol", "Peón", 2),
+    }
+    pairs = Counter((i % 1000 // 3, i % 3) for i in range(2000))
+    for k in range(1000):
+        expected.add(("tbl_registro_sanitario_animal", "id_detalle", str(k), 2))
+    for r, a in (pair for pair, n in pairs.items() if n > 1):
+        expected.add(("tbl_registro_sanitario_animal", "id_registro_san+id_animal", f"{r}|{a}", pairs[r, a]))
+    for shares in (1, 5, 200):
+        found = [tuple(r) for r in _duplicates(spark, data, shares).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_number_keys_are_dealt_before_they_are_counted(spark):
+    """Tasks that read rows hold none of their keys: they go to their shares uncounted, and no further."""
+    data = {
+        "tbl_pesaje": [{"id_pesaje": i // 2} for i in range(10)],
+        "tbl_mortalidad": [{"id_mortalidad": i, "id_animal": i // 2} for i in range(10)],
+        "tbl_rol": [{"nombre_rol": "Peón"}],
+    }
+    plan = _duplicates(spark, data, 5)._jdf.queryExecution().executedPlan().toString()
+    by_number, by_text = plan.split("SortAggregate", 1)
+    assert by_number.count("Exchange") == 1 and "REPARTITION_BY_NUM" in by_number
+    counted, dealt = by_number.split("Exchange")
+    assert "HashAggregate" in counted and "Aggregate" not in dealt
+    assert "SortAggregate" in by_text.split("Exchange")[1]
+
+
+def test_shares_grow_with_the_rows():
+    """Never more than can be written without sorting in memory."""
+    assert [_shares(rows, 8) for rows in (0, 1_000_000, 5_000_000, 10**10)] == [8, 8, 20, 200]
+    assert _shares(0, 500) == 200
